@@ -32,9 +32,9 @@ def skyline_cells(df: DataFrame, group: list[str], record: str, fields: dict[str
         F.col(recency).alias("__at"), mask.alias("__mask"), *[F.col(f).alias(f"__f{i}") for i, f in enumerate(fields)],
     )
     keys = [f"__g{i}" for i in range(len(group))]
-    # least is the best: later first, then the smaller identifier
-    order = F.struct(F.col("__at").isNull().alias("old"), (-F.unix_micros("__at")).alias("age"), F.col("__record").isNull().alias("no_id"), F.col("__record").alias("id"))
-    best = F.min_by(F.struct(F.col("__record"), F.col("__at"), *[F.col(f"__f{i}") for i in range(len(fields))]), order)
+    # nulls are least; of equal times the smaller identifier is the greater
+    order = F.struct(F.col("__at"), -F.col("__record"))
+    best = F.max_by(F.struct(F.col("__record"), F.col("__at"), *[F.col(f"__f{i}") for i in range(len(fields))]), order)
     cells = rows.groupBy(*keys, "__mask", "__trust").agg(best.alias("best"), F.min("__record").alias("lo"), F.max("__record").alias("hi"))
     cell = F.struct(F.col("__mask").alias("mask"), F.col("__trust").alias("trust"), F.col("best.__at").alias("latest"), F.col("best.__record").alias("record"), *[F.col(f"best.__f{i}").alias(f) for i, f in enumerate(fields)])
     out = cells.groupBy(*keys).agg(F.collect_list(cell).alias("cells"), (F.min("lo") < F.max("hi")).alias("several"))
@@ -43,24 +43,9 @@ def skyline_cells(df: DataFrame, group: list[str], record: str, fields: dict[str
 
 def _dominates(a: Column, b: Column) -> Column:
     """a is at least as complete, trusted and recent as b, and better in one of these."""
-    at = lambda c: F.coalesce(F.unix_micros(c["latest"]), F.lit(-(2**62)))
     covers = a["mask"].bitwiseAND(b["mask"]) == b["mask"]
-    return covers & (a["trust"] <= b["trust"]) & (at(a) >= at(b)) & ((a["mask"] != b["mask"]) | (a["trust"] != b["trust"]) | (at(a) != at(b)))
-
-
-def _layers(cells: Column) -> Column:
-    """Each cell with the number of its dominance layer: the length of the longest chain of cells above it."""
-    ordered = F.array_sort(
-        cells,
-        lambda a, b: F.coalesce(
-            F.when(_dominates(a, b), -1).when(_dominates(b, a), 1),
-            F.when(F.bit_count(a["mask"]) != F.bit_count(b["mask"]), F.bit_count(b["mask"]) - F.bit_count(a["mask"])),
-            F.when(a["trust"] != b["trust"], F.when(a["trust"] < b["trust"], -1).otherwise(1)),
-            F.when(a["latest"] > b["latest"], -1).when(a["latest"] < b["latest"], 1),
-            F.lit(0),
-        ),
-    )
-    return ordered
+    recent = F.coalesce(b["latest"].isNull() | (a["latest"] >= b["latest"]), F.lit(False))
+    return covers & (a["trust"] <= b["trust"]) & recent & ((a["mask"] != b["mask"]) | (a["trust"] != b["trust"]) | ~a["latest"].eqNullSafe(b["latest"]))
 
 
 def survivors(df: DataFrame, group: list[str], record: str, fields: dict[str, Column], trust: Column, recency: str, policy: dict[str, str] | None = None) -> DataFrame:
@@ -84,22 +69,19 @@ def survivors(df: DataFrame, group: list[str], record: str, fields: dict[str, Co
     out = cells.withColumn("__peeled", peel)
     cols = [F.col(g) for g in group] + [F.col("__peeled.layers").alias("layers"), F.col("__peeled.skyline").alias("skyline")]
     for i, f in enumerate(fields):
-        valid = F.filter("__peeled.order", lambda c, i=i: c["mask"].bitwiseAND(1 << i) != 0)
-        by_trust = policy.get(f, "trust") == "trust"
-        best = F.array_min(
-            F.transform(
-                valid,
-                lambda c, by_trust=by_trust, f=f: F.struct(
-                    *([c["trust"].alias("trust")] if by_trust else []), c["latest"].isNull().alias("old"), (-F.unix_micros(c["latest"])).alias("age"),
-                    c["record"].isNull().alias("no_id"), c["record"].alias("record"), c[f].alias("value"),
-                ),
-            )
-        )
+        best = _best("__peeled.order", i, f, policy.get(f, "trust") == "trust")
         out = out.withColumn(f"__best{i}", best)
         cols += [F.col(f"__best{i}.value").alias(f), F.col(f"__best{i}.record").alias(f"{f}_record")]
     return out.select(*cols)
 
 
+def _best(cells: str, i: int, field: str, by_trust: bool) -> Column:
+    """The best cell with a valid field i by the policy."""
+    valid = F.filter(cells, lambda c: c["mask"].bitwiseAND(1 << i) != 0)
+    key = lambda c: [(-c["trust"]).alias("trust")] if by_trust else []
+    return F.array_max(F.transform(valid, lambda c: F.struct(*key(c), c["latest"].alias("latest"), (-c["record"]).alias("id"), c["record"].alias("record"), c[field].alias("value"))))
+
+
 def _peeled(acc: Column) -> Column:
     rest = acc["rest"]
     top = F.filter(rest, lambda c: ~F.exists(rest, lambda o: _dominates(o, c)))

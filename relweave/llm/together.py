@@ -66,15 +66,12 @@ def linked_pairs(df: DataFrame, basket: str, items: Column, min_together: int =
     N counts the baskets with any item. Items in fewer than min_together baskets can have no such pair and are taken out
     before pairs are made; they count in N. An empty table gives no rows.
     """
-    spark = df.sparkSession
     collapsed = materialize(baskets(df, basket, items), "baskets")
     total = collapsed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("baskets"))
     single = collapsed.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n"))
-    del spark
     often = single.where(F.col("n") >= min_together)
     several = (
         collapsed.where(F.size("items") > 1)
-        .withColumn("__k", F.xxhash64("items"))
         .select("items", "weight", F.explode("items").alias("item"))
         .join(often.select("item"), "item", "left_semi")
         .groupBy("items", "weight")
