@@ -2,13 +2,14 @@
 
 A record is the multiset of its words: the second occurrence of a word is another element than the first, so Jaccard
 similarity of elements is that of multisets. Records with equal multisets are one class before anything else. Every class gets
-BANDS * ROWS minima. Bands of full minima give candidates; of each minimum only the lowest BITS bits are kept, packed into
-longs, and the share of equal bit groups, corrected for chance collisions, estimates the similarity of a candidate. What
-the estimate does not rule out is compared exactly.
+BANDS * ROWS minima. Bands of full minima give candidates; of the first PACKED minima only the lowest BITS bits are kept, packed into
+two longs that travel with the bands, so that where a candidate is met its similarity is estimated by counting bits, corrected for
+chance collisions. What the estimate does not rule out is compared exactly.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from relweave.functions import text as T
 from relweave.llm.graph import components
 from relweave.session import materialize
 
-#: A pair at similarity 0.7 is missed by all bands with probability (1 - 0.7**5)**40 = 0.0006, one at 0.75 with 0.00002.
-BANDS, ROWS, BITS = 40, 5, 2
-#: An estimate may lie so far below the threshold: over five standard errors at 200 minima of two bits.
-MARGIN = 0.2
+#: A pair at similarity 0.7 is missed by all bands with probability (1 - 0.7**4)**24 = 0.0014, one at 0.75 with 0.0001, at 0.8 with 3e-6.
+BANDS, ROWS = 24, 4
+#: Minima in the packed signature, and bits of each: two longs.
+PACKED, BITS = 64, 2
+#: How far below the threshold an estimate may lie: 3.6 standard errors at similarity 0.7.
+MARGIN = 0.25
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -33,125 +36,114 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(elements: np.ndarray, offsets: np.ndarray, bands: int, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (records x bands, int64) and packed low bits (records x longs, int64) of records given as runs of elements.
+def numbered(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Elements of records given as runs of sorted word hashes: the hash mixed with how many equal ones precede it."""
+    n = len(hashes)
+    at = np.arange(n)
+    new = np.ones(n, bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[offsets[:-1]] = True
+    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
+    with np.errstate(over="ignore"):
+        return _mixed(hashes.view(np.uint64) + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def signatures(elements: np.ndarray, offsets: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (records x bands, int32) and packed low bits (records x 2, int64) of records given as runs of elements.
 
     Every record has at least one element. Minima are of 32-bit values of seeded multiply-shift hashes.
     """
-    n, total = len(offsets) - 1, bands * rows
+    n, total, per = len(offsets) - 1, bands * rows, 64 // BITS
     seeds = np.random.default_rng(20240601).integers(1, 2**63, size=(total, 2), dtype=np.int64).astype(np.uint64)
-    per = 64 // bits
-    packed = np.zeros((n, -(-total // per)), np.uint64)
-    keys = np.empty((n, bands), np.uint64)
-    x = elements.view(np.uint64)
+    packed, keys = np.zeros((n, 2), np.uint64), np.empty((n, bands), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(total):
-            low = np.minimum.reduceat(((x * (seeds[k, 0] | np.uint64(1)) + seeds[k, 1]) >> np.uint64(32)).astype(np.uint32), offsets[:-1]).astype(np.uint64)
-            packed[:, k // per] |= (low & np.uint64((1 << bits) - 1)) << np.uint64(bits * (k % per))
+            low = np.minimum.reduceat(((elements * (seeds[k, 0] | np.uint64(1)) + seeds[k, 1]) >> np.uint64(32)).astype(np.uint32), offsets[:-1]).astype(np.uint64)
+            if k < PACKED:
+                packed[:, k // per] |= (low & np.uint64((1 << BITS) - 1)) << np.uint64(BITS * (k % per))
             b, r = divmod(k, rows)
             keys[:, b] = _mixed((keys[:, b] if r else np.full(n, b + 1, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + low)
-    return keys.view(np.int64), packed.view(np.int64)
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32), packed.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A row (key, rep, s0, s1) for each record and band."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        arr = batch.column("elements")
+        arr = batch.column("hashes")
         offsets = np.asarray(arr.offsets, dtype=np.int64)
         flat = np.asarray(arr.values, dtype=np.int64)[offsets[0] : offsets[-1]]
-        keys, packed = signatures(flat, offsets - offsets[0], bands, rows, bits)
-        lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel())
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), lists(keys), lists(packed)], ["rep", "keys", "packed"])
-
+        offsets = offsets - offsets[0]
+        keys, packed = signatures(numbered(flat, offsets), offsets, bands, rows)
+        spread = [np.repeat(c, bands) for c in (batch.column("rep").to_numpy(), packed[:, 0], packed[:, 1])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), *spread)], ["key", "rep", "s0", "s1"])
 
-def element_hashes(tokens: Column) -> Column:
-    """Sorted hashes of the elements: word and which occurrence of it. Equal multisets give equal arrays."""
-    hashed = F.array_sort(F.transform(tokens, lambda w: F.xxhash64(w)))
-    # the number of an occurrence is its distance from the first equal hash in the sorted array
-    return F.array_sort(F.transform(hashed, lambda h, i: F.when((i > 0) & (F.get(hashed, i - 1) == h), F.xxhash64(h, i - F.array_position(hashed, h) + 1)).otherwise(h)))
 
+def word_hashes(df: DataFrame, record: str, text: str) -> DataFrame:
+    """(id, hashes): the sorted hashes of each record's words.
 
-def classes(df: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, reps): members (id, rep, n_words) of every record with a text; reps (rep, elements, n_words), one for each
-    distinct multiset of words. rep is the smallest identifier of the class.
-
-    A record's copies count once, with the greatest non-null text; null texts and null identifiers are left out. Texts
-    without words are equal to each other, with similarity 1 by definition.
+    A record's copies count once, with the greatest non-null text; null texts and null identifiers are left out.
     """
-    records = (
-        df.select(F.col(record).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
-        .where(F.col("id").isNotNull() & F.col("t").isNotNull())
-        .groupBy("id")
-        .agg(F.max("t").alias("t"))
-        .select("id", element_hashes(T.words(F.col("t"))).alias("elements"))
-    )
-    # two independent 64-bit sums over the sorted elements name a class; equal texts meet before their elements do
-    named = records.select("id", "elements", F.xxhash64("elements").alias("k1"), F.hash("elements").alias("k2"), F.size("elements").alias("n_words"))
-    named = materialize(named, "elements")
-    keys = ["k1", "k2", "n_words"]
-    first = named.groupBy(*keys).agg(F.min("id").alias("rep"))
-    members = named.select("id", *keys).join(first, keys).select("id", "rep", "n_words")
-    reps = named.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "elements", "n_words")
-    return members, reps
+    rows = df.select(F.col(record).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+    return rows.groupBy("id").agg(F.max("t").alias("t")).select("id", F.sort_array(F.transform(T.words(F.col("t")), lambda w: F.xxhash64(w))).alias("hashes"))
 
 
-def class_pairs(reps: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, margin: float = MARGIN) -> DataFrame:
-    """(a, b, estimate, similarity): pairs of classes a < b with at least that similarity."""
-    signed = reps.where(F.size("elements") > 0).select("rep", "elements").mapInArrow(
-        lambda it: _sign(it, bands, rows, bits), "rep bigint, keys array<bigint>, packed array<bigint>"
-    )
-    signed = materialize(signed, "signatures")
-    banded = signed.select("rep", F.explode("keys").alias("key"))
-    # A self-join on the band key: a hot key is split by adaptive skew handling, never collected.
-    pairs = (
-        banded.select("key", F.col("rep").alias("a"))
-        .join(banded.select("key", F.col("rep").alias("b")), "key")
-        .where(F.col("a") < F.col("b"))
-        .select("a", "b")
-        .distinct()
-    )
-    sig = signed.select("rep", "packed")
-    pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("packed").alias("pa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("packed").alias("pb")), "b")
-    pairs = pairs.withColumn("estimate", estimate(F.col("pa"), F.col("pb"), bands * rows, bits)).where(F.col("estimate") >= threshold - margin)
-    el = reps.select("rep", "elements", "n_words")
-    pairs = (
-        pairs.select("a", "b", "estimate")
-        .join(el.select(F.col("rep").alias("a"), F.col("elements").alias("ea"), F.col("n_words").alias("na")), "a")
-        .join(el.select(F.col("rep").alias("b"), F.col("elements").alias("eb"), F.col("n_words").alias("nb")), "b")
-    )
-    shared = F.size(F.array_intersect("ea", "eb"))
-    pairs = pairs.select("a", "b", "estimate", "na", "nb", shared.alias("shared"))
-    return pairs.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select(
-        "a", "b", "estimate", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity")
-    )
+def classes(records: DataFrame) -> DataFrame:
+    """(id, rep, n_words): rep is the smallest identifier with an equal multiset of words, which two hashes over it and its size tell."""
+    keys = ["k1", "k2", "n_words"]
+    named = records.select("id", F.xxhash64("hashes").alias("k1"), F.hash("hashes").alias("k2"), F.size("hashes").alias("n_words"))
+    return named.join(named.groupBy(*keys).agg(F.min("id").alias("rep")), keys).select("id", "rep", "n_words")
 
 
-def estimate(pa_: Column, pb: Column, minima: int, bits: int) -> Column:
+def estimate(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
     """Similarity estimated from packed signatures, less what equal low bits of different minima add by chance."""
-    low = sum(1 << i for i in range(0, 64, bits))
-    low = low - (1 << 64) if low >= 1 << 63 else low
-
-    def unequal(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        folded = d
-        for s in range(1, bits):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(d, s))
-        return F.bit_count(folded.bitwiseAND(F.lit(low).cast("bigint")))
-
-    same = F.lit(float(minima)) - F.aggregate(F.zip_with(pa_, pb, unequal), F.lit(0), lambda a, v: a + v)
-    chance = 2.0**-bits
-    return (same / minima - chance) / (1 - chance)
+    low = F.lit(0x5555555555555555).cast("bigint")
+
+    def unequal(a: Column, b: Column) -> Column:
+        d = a.bitwiseXOR(b)
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(low))
+
+    same = F.lit(PACKED) - unequal(x[0], y[0]) - unequal(x[1], y[1])
+    chance = 2.0**-BITS
+    return (same / PACKED - chance) / (1 - chance)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Exact multiset similarity of the pairs' hashes, where it reaches the threshold."""
+    for b in batches:
+        x, y = b.column("ha").to_pylist(), b.column("hb").to_pylist()
+        sim = np.empty(len(x))
+        for i, (p, q) in enumerate(zip(x, y)):
+            shared = sum((Counter(p) & Counter(q)).values())
+            # the threshold is met in whole numbers: 0.7 of 10 words is 7 words
+            sim[i] = shared / (len(p) + len(q) - shared) if shared >= threshold * (len(p) + len(q) - shared) - 1e-9 else -1
+        keep = pa.array(np.flatnonzero(sim >= 0))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep), pa.array(sim[sim >= 0])], ["a", "b", "similarity"])
+
+
+def class_pairs(records: DataFrame, members: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN) -> DataFrame:
+    """(a, b, similarity): pairs of classes a < b with at least that similarity."""
+    reps = records.join(members.where("id = rep and n_words > 0").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), "hashes")
+    banded = reps.mapInArrow(lambda it: _sign(it, bands, rows), "key int, rep bigint, s0 bigint, s1 bigint")
+    x = banded.select("key", F.col("rep").alias("a"), F.col("s0").alias("x0"), F.col("s1").alias("x1"))
+    y = banded.select("key", F.col("rep").alias("b"), F.col("s0").alias("y0"), F.col("s1").alias("y1"))
+    # A self-join on the band key: a hot key is split by adaptive skew handling, never collected. One exchange serves both sides.
+    near = estimate((F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))) >= threshold - margin
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    both = pairs.join(records.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(records.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    return both.select("a", "b", "ha", "hb").mapInArrow(lambda it: _compare(it, threshold), "a bigint, b bigint, similarity double")
 
 
 def near_duplicate_pairs(df: DataFrame, record: str, text: str, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, similarity) of records id_a < id_b whose word multisets have at least that similarity.
 
-    Pairs inside a class have similarity 1. The result is as large as the classes make it; near_duplicate_groups gives one
-    row a record instead.
+    Pairs inside a class have similarity 1, also those of texts without words. The result is as large as the classes make it;
+    near_duplicate_groups gives one row a record instead.
     """
-    members, reps = classes(df, record, text)
-    pairs = class_pairs(reps, threshold)
+    records = word_hashes(df, record, text)
+    members = materialize(classes(records), "members")
+    pairs = class_pairs(records, members, threshold)
     m = members.select("id", "rep")
     inside = m.alias("x").join(m.alias("y"), F.col("x.rep") == F.col("y.rep")).where(F.col("x.id") < F.col("y.id"))
     inside = inside.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(1.0).alias("similarity"))
@@ -170,8 +162,9 @@ def near_duplicate_groups(df: DataFrame, record: str, text: str, threshold: floa
     class_id is the smallest record with an equal word multiset, group_id the smallest that a chain of near-duplicates
     reaches, links the number of other classes that the record's class is near to.
     """
-    members, reps = classes(df, record, text)
-    pairs = materialize(class_pairs(reps, threshold), "pairs")
+    records = word_hashes(df, record, text)
+    members = materialize(classes(records), "members")
+    pairs = materialize(class_pairs(records, members, threshold), "pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     groups = components(pairs).select(F.col("node").alias("rep"), "component")
     out = members.join(links, "rep", "left").join(groups, "rep", "left")
