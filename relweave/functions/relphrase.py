@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relweave.functions.stopwords import FILTER_TAGS, STOPWORDS
+from relweave.functions.text import let
 
 # Treebank tags of each class.
 CLASS_TAGS = {
@@ -75,21 +76,25 @@ def phrase_groups(classes: Column) -> Column:
 def relational_phrase(tagged: Column) -> Column:
     """The tagged tokens of all phrases, one after the other; none if there is no verb."""
     groups = phrase_groups(F.transform(tagged, lambda t: tag_class(t["tag"])))
-    return F.filter(tagged, lambda t, i: F.get(groups, i) > 0)
+    return let(groups, lambda g: F.filter(tagged, lambda t, i: F.get(g, i) > 0))
 
 
 def universal_phrases(tagged: Column) -> Column:
     """array of phrases (phrase, tokens) under universal tags, each by itself; words are parted and followed by a blank."""
     classes = F.transform(tagged, lambda t: F.coalesce(F.try_element_at(_table(UNIVERSAL_CLASS), universal_tag(t["tag"])), F.lit("O")))
-    groups = phrase_groups(classes)
-    n = F.coalesce(F.array_max(groups), F.lit(0))
 
-    def one(k: Column) -> Column:
-        held = F.filter(tagged, lambda t, i: F.get(groups, i) == k)
-        words = F.concat(F.array_join(F.transform(held, lambda t: t["tok"]), " "), F.lit(" "))
-        return F.struct(words.alias("phrase"), F.transform(held, lambda t: F.struct(t["tok"].alias("tok"), universal_tag(t["tag"]).alias("tag"))).alias("tokens"))
+    def phrases(s: Column) -> Column:
+        groups, toks = s["g"], s["t"]
+        n = F.coalesce(F.array_max(groups), F.lit(0))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.filter(F.transform(F.array(F.lit(0)), one), lambda x: F.lit(False)))
+        def one(k: Column) -> Column:
+            held = F.filter(toks, lambda t, i: F.get(groups, i) == k)
+            words = F.concat(F.array_join(F.transform(held, lambda t: t["tok"]), " "), F.lit(" "))
+            return F.struct(words.alias("phrase"), F.transform(held, lambda t: F.struct(t["tok"].alias("tok"), universal_tag(t["tag"]).alias("tag"))).alias("tokens"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda k: k > 0), one)
+
+    return let(F.struct(phrase_groups(classes).alias("g"), tagged.alias("t")), phrases)
 
 
 def passive_voice(phrase: Column) -> Column:
@@ -107,7 +112,6 @@ def passive_voice(phrase: Column) -> Column:
 
 def content_words(tagged: Column) -> Column:
     """Tokens of the relational phrase, or of all if there is none, without stop words, adjectives and adverbs."""
-    phrase = relational_phrase(tagged)
-    chosen = F.when(F.size(phrase) > 0, phrase).otherwise(tagged)
+    chosen = let(relational_phrase(tagged), lambda phrase: F.when(F.size(phrase) > 0, phrase).otherwise(tagged))
     kept = F.filter(chosen, lambda t: ~F.lower(t["tok"]).isin(STOPWORDS) & ~F.coalesce(t["tag"].isin(FILTER_TAGS), F.lit(False)))
     return F.transform(kept, lambda t: t["tok"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ NO_NAME = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once.
+
+    An expression that is named inside a lambda is computed anew for each element, also when it was given a column of its own, as
+    projections are merged. A lambda's variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space of any kind become one blank; none is left at the ends."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
@@ -49,7 +60,4 @@ def holds_name(c: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring tokens joined by a blank; empty for fewer than two."""
-    return F.when(
-        F.size(tokens) >= 2,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(tokens, lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b)))

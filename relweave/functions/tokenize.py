@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relweave.functions.text import let
+
 # The published tokenisation rules (pattern, replacement), in order.
 RULES = [
     (r'^"', "`` "),
@@ -53,7 +55,10 @@ def tokens_sql(text: str) -> str:
 
 def entity_parts(surface: Column) -> Column:
     """Tokens of an entity; a final full stop goes back to the token before it. A lone full stop stays."""
-    t = tokens(surface)
-    n = F.size(t)
-    joined = F.concat(F.slice(t, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(F.concat(F.get(t, n - 2), F.lit("."))))
-    return F.when((n >= 2) & (F.get(t, n - 1) == "."), joined).otherwise(t)
+
+    def parts(t: Column) -> Column:
+        n = F.size(t)
+        joined = F.concat(F.slice(t, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(F.concat(F.get(t, n - 2), F.lit("."))))
+        return F.when((n >= 2) & (F.get(t, n - 1) == "."), joined).otherwise(t)
+
+    return let(tokens(surface), parts)

@@ -9,6 +9,7 @@ from relweave.config import Config
 from relweave.functions import relphrase
 from relweave.functions.stopwords import NOT_VALID
 from relweave.functions.tagging import Tagger, pos_tags, rule_tags
+from relweave.functions.text import let
 from relweave.functions.tokenize import entity_parts, tokens
 
 ENTITY = "<([A-Z]+)>([^<]+)</[A-Z]+>"
@@ -32,50 +33,59 @@ def has_entities(sentence: Column, least: int = 2) -> Column:
 
 
 def find_locations(parts: Column, toks: Column) -> Column:
-    """Every 1-based start at which the parts stand in the tokens, tagged there or not."""
+    """Every 1-based start at which the parts stand in the tokens, tagged there or not. Both should be columns or variables."""
     n, k = F.size(toks), F.size(parts)
     starts = F.when((k > 0) & (n >= k), F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
     return F.filter(starts, lambda i: F.slice(toks, i, k) == parts)
 
 
 def locations(ents: Column, toks: Column) -> Column:
-    """array of (start, surface, etype, parts, nth), ascending; of entities that start at one place the longest, then the first tagged, stays."""
-    found = F.flatten(
-        F.transform(
-            F.array_distinct(ents),
-            lambda e, nth: F.transform(
-                find_locations(entity_parts(e["surface"]), toks),
-                lambda i: F.struct(i.alias("start"), (-F.size(entity_parts(e["surface"]))).alias("longest"), nth.alias("nth"), e["surface"].alias("surface"), e["etype"].alias("etype")),
-            ),
-        )
+    """array of (start, longest, nth, surface, etype), ascending; of entities that start at one place the longest, then the first tagged, stays.
+
+    longest is the negative number of the entity's tokens.
+    """
+
+    def of(e: Column) -> Column:
+        one = lambda i: F.struct(i.alias("start"), (-F.size(e["parts"])).alias("longest"), e["nth"].alias("nth"), e["surface"].alias("surface"), e["etype"].alias("etype"))
+        return F.transform(find_locations(e["parts"], toks), one)
+
+    read = F.transform(
+        F.array_distinct(ents), lambda e, nth: F.struct(nth.alias("nth"), e["surface"].alias("surface"), e["etype"].alias("etype"), entity_parts(e["surface"]).alias("parts"))
     )
-    ordered = F.array_sort(found)
-    return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["start"] != x["start"]))
+    return let(F.sort_array(F.flatten(F.transform(read, of))), lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["start"] != x["start"])))
 
 
-def locate(df: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """df with toks and locs, for sentences with at least two tagged entities. Null sentences are left out."""
-    s = F.col(sentence)
-    return df.where(has_entities(s)).withColumn("toks", tokens(untagged(s))).withColumn("ents", entities(s)).withColumn("locs", locations(F.col("ents"), F.col("toks"))).drop("ents")
+def _pairs(locs: Column, c: Config, typed: bool) -> Column:
+    """Consecutive starts (pos, x, y) at an allowed distance, of the wanted types, of different surfaces."""
+    n = F.size(locs)
+    every = F.zip_with(F.slice(locs, 1, F.greatest(n - 1, F.lit(0))), F.slice(locs, 2, n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    every = F.transform(every, lambda p, i: F.struct(i.alias("pos"), p["x"].alias("x"), p["y"].alias("y")))
+    return F.filter(
+        every,
+        lambda p: (p["y"]["start"] - p["x"]["start"]).between(c.min_tokens_away, c.max_tokens_away)
+        & (p["x"]["surface"] != p["y"]["surface"])
+        & ((p["x"]["etype"] == c.e1_type) & (p["y"]["etype"] == c.e2_type) if typed else F.lit(True)),
+    )
 
 
-def neighbours(df: DataFrame, config: Config | None = None, typed: bool = True) -> DataFrame:
-    """df (with toks, locs) with pairs: consecutive starts at an allowed distance, of the wanted types, of different surfaces.
+def locate(df: DataFrame, sentence: str = "sentence", config: Config | None = None, typed: bool = True) -> DataFrame:
+    """df with toks, locs and pairs, for sentences with at least two tagged entities. Null sentences are left out.
 
-    Distances are from start to start. pos counts the consecutive starts of the sentence from 0.
+    Distances are from start to start. pos counts the consecutive starts of the sentence from 0. All three are made in one
+    expression, behind an explode, so that nothing is computed twice.
     """
-    c = config or Config()
-    locs = F.col("locs")
-    every = F.when(
-        F.size(locs) >= 2,
-        F.transform(F.sequence(F.lit(0), F.size(locs) - 2), lambda i: F.struct(i.alias("pos"), F.get(locs, i).alias("x"), F.get(locs, i + 1).alias("y"))),
-    )
-    ok = lambda p: (
-        (p["y"]["start"] - p["x"]["start"]).between(c.min_tokens_away, c.max_tokens_away)
-        & (p["x"]["surface"] != p["y"]["surface"])
-        & ((p["x"]["etype"] == c.e1_type) & (p["y"]["etype"] == c.e2_type) if typed else F.lit(True))
+    c, s = config or Config(), F.col(sentence)
+    whole = let(
+        F.struct(tokens(untagged(s)).alias("toks"), entities(s).alias("ents")),
+        lambda z: let(locations(z["ents"], z["toks"]), lambda l: F.struct(z["toks"].alias("toks"), l.alias("locs"), _pairs(l, c, typed).alias("pairs"))),
     )
-    return df.withColumn("pairs", F.filter(every, ok)).where(F.size("pairs") > 0)
+    rows = df.where(has_entities(s)).withColumn("__s", F.explode(F.array(whole)))
+    return rows.select(*df.columns, "__s.toks", "__s.locs", "__s.pairs")
+
+
+def neighbours(df: DataFrame, config: Config | None = None, typed: bool = True, sentence: str = "sentence") -> DataFrame:
+    """locate(), only sentences with a pair."""
+    return locate(df, sentence, config, typed).where(F.size("pairs") > 0)
 
 
 def valid_between(between: Column) -> Column:
@@ -116,7 +126,7 @@ def relationships(sentences: DataFrame, config: Config | None = None, tagger: Ta
     c = config or Config()
     s = F.col("sentence")
     rows = sentences.where(s.contains(f"<{c.e1_type}>") & s.contains(f"<{c.e2_type}>")) if typed else sentences
-    rows = neighbours(locate(rows), c, typed)
+    rows = neighbours(rows, c, typed)
     if tagger is not None:
         rows = rows.withColumn("tags", pos_tags(F.col("toks"), tagger))
     return contexts(rows, c)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relweave.plans import relation_queries
 from relweave.plans.tables import table
 from relweave.sources import lines
 
@@ -47,7 +48,8 @@ done as (select *, case when not quoted then 'quoting' when not three then 'colu
 """
 
 ORACLE: dict[str, str] = {
+    **relation_queries.ORACLE,
     "p2_found": _LINES + "select line_id, reason from done where reason is not null",
     "p2_valid": _LINES + "select line_id, e1, r, e2 from done where reason is null",
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_valid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relation_queries.QUERIES, **{f.__name__: f for f in (p2_found, p2_valid)}}

@@ -29,13 +29,13 @@ def read_listed(spark: SparkSession, path: str) -> DataFrame:
     return K.clean_listed_facts(d.select(*[strip(F.col(c)).alias(c) for c in ("e1", "r", "e2")]))
 
 
-def parse_ntriples(lines: DataFrame, line: str = "value") -> DataFrame:
+def parse_ntriples(lines: DataFrame, line: str = "value", keep: list[str] | None = None) -> DataFrame:
     """(e1, r, e2) of lines of four fields parted by white space, as local names without bracketed notes; others are left out."""
     v = strip(F.col(line))
     f = F.split(v, r"\s+")
-    rows = lines.select(v.alias("v"), f.alias("f")).where(~F.col("v").startswith("#") & (F.size("f") == 4))
+    rows = lines.select(*(keep or []), v.alias("v"), f.alias("f")).where(~F.col("v").startswith("#") & (F.size("f") == 4))
     part = lambda i: K.without_brackets(K.local_name(F.get("f", F.lit(i))))
-    return rows.select(part(0).alias("e1"), part(1).alias("r"), part(2).alias("e2"))
+    return rows.select(*(keep or []), part(0).alias("e1"), part(1).alias("r"), part(2).alias("e2"))
 
 
 def parse_yago(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -67,18 +67,24 @@ def _after(block: Column, name: str) -> Column:
     return strip(found)
 
 
-def parse_blocks(blocks: DataFrame, block: str = "value") -> DataFrame:
+_HEAD = r"(?m)^instance:[ ]*([^\t\n]*)\t(.*?)[ \t]*score:[ ]*([-+0-9.eE]+)[ \t]*$"
+
+
+def block_columns(b: Column) -> dict[str, Column]:
+    """The fields of a block; one that it lacks is empty."""
+    return {
+        "ent1": strip(F.regexp_extract(b, _HEAD, 1)), "ent2": strip(F.regexp_extract(b, _HEAD, 2)), "score": F.regexp_extract(b, _HEAD, 3).try_cast("double"),
+        "sentence": _after(b, "sentence"), "bef_words": _after(b, "pattern_bef"), "bet_words": _after(b, "pattern_bet"), "aft_words": _after(b, "pattern_aft"),
+        "passive_voice": _after(b, "passive voice") == "True",
+    }
+
+
+def parse_blocks(blocks: DataFrame, block: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Facts of text blocks: instance: e1, tab, e2 score:x, and lines sentence, pattern_bef, pattern_bet, pattern_aft, passive voice.
 
-    A block without an instance is left out; a field that it lacks is empty.
+    A block without an instance is left out. keep names columns to take over.
     """
-    b = F.col(block)
-    head = r"(?m)^instance:[ ]*([^\t\n]*)\t(.*?)[ \t]*score:[ ]*([-+0-9.eE]+)[ \t]*$"
-    return blocks.where(b.rlike(head)).select(
-        strip(F.regexp_extract(b, head, 1)).alias("ent1"), strip(F.regexp_extract(b, head, 2)).alias("ent2"), F.regexp_extract(b, head, 3).try_cast("double").alias("score"),
-        _after(b, "sentence").alias("sentence"), _after(b, "pattern_bef").alias("bef_words"), _after(b, "pattern_bet").alias("bet_words"),
-        _after(b, "pattern_aft").alias("aft_words"), (_after(b, "passive voice") == "True").alias("passive_voice"),
-    )
+    return blocks.where(F.col(block).rlike(_HEAD)).select(*(keep or []), *[c.alias(n) for n, c in block_columns(F.col(block)).items()])
 
 
 def read_blocks(spark: SparkSession, path: str, threshold: float = 0.0) -> DataFrame:

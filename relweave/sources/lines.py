@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.functions.text import strip
+from relweave.functions.text import let, strip
 
 # The reasons, in the order in which they apply.
 REASONS = ["quoting", "column_count", "invalid_value"]
@@ -34,12 +34,11 @@ def _fields(line: Column) -> Column:
         lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit("\t"), F.lit(_ESC_TAB))).otherwise(p),
     )
 
-    def value(x: Column) -> Column:
-        bare = strip(x)
+    def value(bare: Column) -> Column:
         bare = F.when(bare.startswith('"'), strip(F.replace(F.substr(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"')))).otherwise(bare)
         return F.replace(F.replace(bare, F.lit(_ESC_TAB), F.lit("\t")), F.lit(_ESC_SELF), F.lit(_ESC))
 
-    return F.transform(F.split(F.array_join(parts, '"'), "\t", -1), value)
+    return F.transform(F.transform(F.split(F.array_join(parts, '"'), "\t", -1), strip), value)
 
 
 def classify_lines(df: DataFrame, line: str, kinds: DataFrame, columns: tuple[str, str, str] = ("e1", "r", "e2"), kind: str = "r") -> DataFrame:
@@ -60,7 +59,7 @@ def classify_lines(df: DataFrame, line: str, kinds: DataFrame, columns: tuple[st
     rows = rows.where(text.isNotNull() & text.rlike(rf"[^\s\p{{Z}}\x{{0085}}\x{{001c}}-\x{{001f}}]") & ~text.startswith("#"))
     rows = rows.withColumn("__read", F.from_csv(text, schema.simpleString()[7:-1].replace(":", " "), options))
     plain = F.col("__read._corrupt").isNull() & ~text.rlike(r'["\p{Cntrl}&&[^\t]]')
-    rows = rows.withColumn("__ok", plain | _quoting_ok(F.split(text, '"', -1)))
+    rows = rows.withColumn("__ok", plain | let(F.split(text, '"', -1), _quoting_ok))
     read = F.array(*[strip(F.coalesce(F.col(f"__read.{c}"), F.lit(""))) for c in columns])
     rows = rows.withColumn("__f", F.when(plain, read).when(F.col("__ok"), _fields(text)))
     names = [c for c in columns if c != kind]
