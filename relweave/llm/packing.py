@@ -19,7 +19,7 @@ from relweave.llm.tokens import VOCABULARY, count_tokens
 from relweave.session import materialize
 
 #: Groups of equal cardinality to which large lengths are rounded up.
-GROUPS = 32
+GROUPS = 128
 #: Items of at most this share of the capacity are small.
 SMALL = 8
 #: Rows of one length and bucket that are ranked together.
@@ -49,8 +49,14 @@ def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def _fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts by group of a configuration that fills the capacity best, no group beyond what is left of it."""
-    reach = np.full(capacity + 1, -1, np.int64)  # group that last reached this sum
+    """Counts by group of the configuration that holds an item of the largest group left and fills the capacity best with it.
+
+    No group is used beyond what is left of it. Taking the largest first keeps them from being left over, alone in containers.
+    """
+    top = int(np.flatnonzero(left)[0])  # sizes descend
+    left = left.copy()
+    left[top] -= 1
+    capacity -= int(sizes[top])
     used = np.zeros((len(sizes), capacity + 1), np.int64)
     ok = np.zeros(capacity + 1, bool)
     ok[0] = True
@@ -64,10 +70,10 @@ def _fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
                 break
             used[:, at] = used[:, at - s]
             used[g, at] += 1
-            reach[at] = g
-            # a sum may take the group again only within its bound
-            ok[at[used[g, at] <= left[g]]] = True
-    return used[:, np.flatnonzero(ok).max()]
+            ok[at] = True
+    out = used[:, np.flatnonzero(ok).max()].copy()
+    out[top] += 1
+    return out
 
 
 def configurations(hist: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]], int]:
