@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relweave.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products; null if a length differs or a value is null."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def unit(a: Column) -> Column:
-    """The vector over its length; a zero vector stays zero."""
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
+def square(a: Column) -> Column:
+    """Sum of squares; null if a value is null."""
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+
+
+def unit(a: Column, length: float = 1.0) -> Column:
+    """The vector at that length; a zero vector stays zero. The norm is computed once, not for each element."""
+    return let(
+        F.sqrt(square(a)),
+        lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") * (F.lit(length) / n))).otherwise(F.transform(a, lambda x: x.cast("double"))),
+    )
 
 
 def cosine(a: Column, b: Column, dim: int | None = None) -> Column:
     """Cosine similarity; 0 for a null, zero or other than dim long vector."""
-    ok = dot(a, a) * dot(b, b)
-    c = dot(a, b) / F.sqrt(ok)
-    known = (ok > 0) & ((F.size(a) == dim) & (F.size(b) == dim) if dim else F.lit(True))
+    norms = square(a) * square(b)
+    c = F.when(norms > 0, dot(a, b) / F.sqrt(norms))
+    known = (F.size(a) == dim) & (F.size(b) == dim) if dim else F.lit(True)
     return F.coalesce(F.when(known, c), F.lit(0.0))
 
 
@@ -30,13 +39,9 @@ def weighted_unit(vectors: dict[Column | str, float], dim: int) -> Column:
 
     A vector that is null or not dim long counts as zero.
     """
+    zero = F.array_repeat(F.lit(0.0), dim)
     parts = []
     for c, w in vectors.items():
         c = F.col(c) if isinstance(c, str) else c
-        u = F.when(F.size(c) == dim, unit(c)).otherwise(F.array_repeat(F.lit(0.0), dim))
-        parts.append(_scaled(F.coalesce(u, F.array_repeat(F.lit(0.0), dim)), float(w) ** 0.5))
+        parts.append(F.coalesce(F.when(F.size(c) == dim, unit(c, float(w) ** 0.5)), zero))
     return F.concat(*parts)
-
-
-def _scaled(a: Column, by: float) -> Column:
-    return F.transform(a, lambda x: x * F.lit(by))

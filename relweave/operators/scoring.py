@@ -40,7 +40,7 @@ def pattern_confidence(positive: Column, negative: Column, unknown: Column, nega
 def tuple_confidence(evidence: DataFrame, patterns: DataFrame) -> DataFrame:
     """(tuple_key, confidence): one less the product of one less pattern confidence times similarity."""
     rows = evidence.join(patterns.select("pattern_id", F.col("confidence").alias("__c")), "pattern_id")
-    return rows.groupBy("tuple_key").agg((1 - F.product(1 - F.col("__c") * F.col("sim"))).alias("confidence"))
+    return rows.groupBy("tuple_key").agg((1 - F.product(1 - F.least(F.col("__c") * F.col("sim"), F.lit(1.0)))).alias("confidence"))
 
 
 def new_evidence(best: DataFrame, known: DataFrame | None, threshold: float) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relweave.functions.text import strip
+from relweave.session import materialize
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -23,9 +24,12 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: str, name: str) -> DataFrame:
-    """df with name: 0, 1, ... in ascending order. Ranges are numbered apart and shifted by the counts of those before."""
-    part = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    counts = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
+    """df with name: 0, 1, ... in ascending order. Ranges are numbered apart and shifted by the counts of those before.
+
+    The ranges are written first: their bounds come from a sample and must be the same wherever they are used.
+    """
+    part = materialize(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = part.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
     return local.join(before.select("__p", "__before"), "__p").withColumn(name, F.col("__before") + F.col("__k") - 1).drop("__p", "__k", "__before")

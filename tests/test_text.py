@@ -95,3 +95,12 @@ def test_similarity(spark):
 def test_tags():
     assert tagging.rule_tags(["It", "was", "acquired", "by", "Acme", "."]) == ["PRP", "VBD", "VBN", "IN", "NNP", "."]
     assert tagging.rule_tags([]) == []
+
+
+def test_vectors(spark):
+    from relweave.functions import vectors as V
+
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], None), ([1.0], [1.0, 1.0], [2.0, 0.0])], "a array<float>, b array<float>, c array<float>")
+    rows = df.select(V.unit(F.col("a")).alias("u"), V.cosine(F.col("a"), F.col("b"), 2).alias("z"), V.weighted_unit({"a": 0.25, "b": 0.75, "c": 0.0}, 2).alias("w")).collect()
+    assert [round(x, 6) for x in rows[0].u] == [0.6, 0.8] and rows[0].z == 0 and rows[1].z == 0
+    assert [round(x, 6) for x in rows[0].w] == [0.3, 0.4, 0, 0, 0, 0] and [round(x, 4) for x in rows[1].w] == [0, 0, 0.6124, 0.6124, 0, 0]
