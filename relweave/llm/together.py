@@ -11,52 +11,49 @@ from pyspark.sql import functions as F
 
 from relweave.session import materialize
 
-#: Larger baskets are cut into blocks of so many items, and blocks are paired.
-BLOCK = 64
+#: Items of a block; a basket of more items than LARGE is never held in one row, but as blocks of about so many.
+BLOCK, LARGE = 64, 1024
+#: The blocks of a large basket are paired in so many places.
+SALT = 16
 
 
-def baskets(df: DataFrame, basket: str, items: Column) -> DataFrame:
-    """(items, weight): distinct sorted item sets and the number of baskets that have them.
+def basket_items(df: DataFrame, basket: str, items: Column) -> DataFrame:
+    """(basket, item): distinct. items is an array column; its nulls, and rows without a basket identifier, are left out."""
+    pairs = df.where(F.col(basket).isNotNull()).select(F.col(basket).alias("basket"), F.explode(items).alias("item"))
+    return pairs.where(F.col("item").isNotNull()).distinct()
+
+
+def collapsed(held: DataFrame) -> DataFrame:
+    """(items, weight): distinct sorted item sets and the number of baskets that have them."""
+    return held.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("weight"))
 
-    items is an array column; its nulls are ignored. Rows without a basket identifier belong to no basket. Baskets
-    without items are left out. Rows of one basket are combined before the shuffle, so a basket may have any number of rows.
-    """
-    pairs = df.where(F.col(basket).isNotNull()).select(F.col(basket).alias("__b"), F.explode(items).alias("__i")).where(F.col("__i").isNotNull())
-    return (
-        pairs.distinct()
-        .groupBy("__b")
-        .agg(F.sort_array(F.collect_list("__i")).alias("items"))
-        .groupBy("items")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
 
+def _small_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b, weight) of every two items of each set."""
+    rows = sets.where(F.size("items") > 1).select("items", "weight", F.posexplode("items").alias("k", "a"))
+    return rows.select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"), "weight")
 
-def _blocks(items: Column) -> Column:
-    n = F.ceil(F.size(items) / BLOCK).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
 
+def _large_pairs(held: DataFrame) -> DataFrame:
+    """(a, b, weight) of every two items of each large basket (basket, item, n), block by block."""
+    blocks = held.withColumn("block", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK))).groupBy("basket", "block").agg(F.collect_list("item").alias("items"))
+    x = blocks.select("basket", F.col("block").alias("i"), F.col("items").alias("x"), F.pmod("block", F.lit(SALT)).alias("salt"))
+    y = blocks.select("basket", F.col("block").alias("j"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    both = x.join(y, ["basket", "salt"]).where(F.col("i") <= F.col("j"))
+    pairs = both.select("i", "j", "y", F.explode("x").alias("p")).select("i", "j", "p", F.explode("y").alias("q")).where((F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(1).cast("bigint").alias("weight"))
 
-def pair_counts(collapsed: DataFrame) -> DataFrame:
-    """(a, b, together): a < b by code point, and the weight of the baskets with both.
 
-    The pairs of a basket of up to BLOCK items are made in one row. A larger one becomes a row for each pair of its blocks,
-    spread over the cluster, so no task has more than BLOCK * BLOCK pairs of a basket at once and none is left out.
+def pair_counts(held: DataFrame) -> DataFrame:
+    """(a, b, together): a < b by code point, and the baskets (basket, item) that hold both.
+
+    Equal baskets are collapsed and their pairs made once. Baskets of more than LARGE items are cut into blocks and the blocks paired, spread
+    over the cluster: no row holds more than a block, and no pair is left out.
     """
-    several = collapsed.where(F.size("items") > 1)
-    small = several.where(F.size("items") <= BLOCK).select(F.col("items").alias("x"), F.col("items").alias("y"), "weight")
-    large = several.where(F.size("items") > BLOCK).select(_blocks(F.col("items")).alias("bs"), "weight")
-    large = (
-        large.select("bs", "weight", F.posexplode("bs").alias("k", "x"))
-        .select("weight", "x", F.explode(F.slice(F.col("bs"), F.col("k") + 1, F.size("bs"))).alias("y"))
-    )
-    rows = small.unionByName(large)
-    return (
-        rows.select("y", "weight", F.explode("x").alias("a"))
-        .select("a", "weight", F.explode("y").alias("b"))
-        .where(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(F.sum("weight").alias("together"))
-    )
+    large = materialize(held.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE), "large")
+    pairs = _small_pairs(collapsed(held.join(large, "basket", "left_anti")))
+    pairs = pairs.unionByName(_large_pairs(held.join(large, "basket")))
+    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("together"))
 
 
 def linked_pairs(df: DataFrame, basket: str, items: Column, min_together: int = 3, min_lift: float = 8.0) -> DataFrame:
@@ -64,22 +61,13 @@ def linked_pairs(df: DataFrame, basket: str, items: Column, min_together: int =
 
     lift is together * N / (n_a * n_b) and conviction (1 - n_b / N) / (1 - together / n_a), null if a never comes without b;
     N counts the baskets with any item. Items in fewer than min_together baskets can have no such pair and are taken out
-    before pairs are made; they count in N. An empty table gives no rows.
+    before baskets are made; they count in N. An empty table gives no rows.
     """
-    collapsed = materialize(baskets(df, basket, items), "baskets")
-    total = collapsed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("baskets"))
-    single = collapsed.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n"))
-    often = single.where(F.col("n") >= min_together)
-    several = (
-        collapsed.where(F.size("items") > 1)
-        .select("items", "weight", F.explode("items").alias("item"))
-        .join(often.select("item"), "item", "left_semi")
-        .groupBy("items", "weight")
-        .agg(F.sort_array(F.collect_list("item")).alias("kept"))
-        .groupBy(F.col("kept").alias("items"))
-        .agg(F.sum("weight").alias("weight"))
-    )
-    pairs = pair_counts(several).where(F.col("together") >= min_together)
+    held = materialize(basket_items(df, basket, items), "items")
+    total = held.select("basket").distinct().agg(F.count(F.lit(1)).alias("baskets"))
+    often = held.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_together)
+    kept = materialize(held.join(often.select("item"), "item", "left_semi"), "kept")
+    pairs = pair_counts(kept).where(F.col("together") >= min_together)
     out = (
         pairs.join(often.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a")
         .join(often.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")

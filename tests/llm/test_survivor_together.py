@@ -52,9 +52,12 @@ def test_pairs_against_counting(spark):
         n.update(set(v))
         pair.update(combinations(sorted(set(v)), 2))
     total = len(baskets)
-    got = {(r.a, r.b): r for r in together.linked_pairs(df, "b", F.array("x"), 2, 1.1).collect()}
     want = {p for p, c in pair.items() if c >= 2 and c * total >= 1.1 * n[p[0]] * n[p[1]]}
-    assert set(got) == want and all(r.together == pair[p] and r.baskets == total for p, r in got.items())
-    counted = {(r.a, r.b): r.together for r in together.pair_counts(together.baskets(df, "b", F.array("x"))).collect()}
-    assert counted == pair
+    for large in (together.LARGE, 100):
+        together.LARGE, old = large, together.LARGE
+        got = {(r.a, r.b): r for r in together.linked_pairs(df, "b", F.array("x"), 2, 1.1).collect()}
+        counted = {(r.a, r.b): r.together for r in together.pair_counts(together.basket_items(df, "b", F.array("x"))).collect()}
+        together.LARGE = old
+        assert set(got) == want and all(r.together == pair[p] and r.baskets == total for p, r in got.items())
+        assert counted == pair
     assert together.linked_pairs(df.limit(0), "b", F.array("x")).count() == 0
