@@ -102,3 +102,9 @@ def supported(members: DataFrame, least: int) -> DataFrame:
     """Members of the patterns with at least that many distinct members."""
     often = members.groupBy("pattern_id").agg(F.count_distinct("tuple_key").alias("n")).where(F.col("n") >= least)
     return members.join(often.select("pattern_id"), "pattern_id", "left_semi")
+
+
+def pattern_words(members: DataFrame, tuples: DataFrame) -> DataFrame:
+    """(pattern_id, words): the distinct contexts between the entities of each pattern's members, sorted."""
+    rows = members.select("pattern_id", "tuple_ord").join(tuples.select("tuple_ord", "bet_words"), "tuple_ord").where("bet_words is not null")
+    return rows.select("pattern_id", "bet_words").distinct().groupBy("pattern_id").agg(F.sort_array(F.collect_list("bet_words")).alias("words"))

@@ -116,3 +116,11 @@ def metrics(a: DataFrame, b: DataFrame, s: DataFrame, c: DataFrame, d: DataFrame
     right = F.col("a") + F.col("b")
     row = row.withColumn("precision", F.coalesce(F.try_divide(right, F.col("s")), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide(right, right + F.col("c") + F.col("d")), F.lit(0.0)))
     return row.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def truth(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
+    """(ent1, ent2): distinct pairs of all that is right, extracted or not."""
+    out = a.select(*PAIR)
+    for x in (b, c, d):
+        out = out.unionByName(x.select(*PAIR))
+    return out.distinct()

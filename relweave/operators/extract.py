@@ -171,3 +171,16 @@ def context_vectors(rows: DataFrame, key: str, words: dict[str, str], embeddings
 
 def _labelled(c: Column, i: int) -> Column:
     return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(F.lit(i).alias("i"), w.alias("word")))
+
+
+def tagged_text(df: DataFrame, text: str, tagger: Tagger = rule_tags) -> DataFrame:
+    """df with tagged: the (tok, tag) of plain text."""
+    d = df.withColumn("__toks", tokens(F.col(text)))
+    d = d.withColumn("__tags", pos_tags(F.col("__toks"), tagger))
+    return d.withColumn("tagged", F.zip_with("__toks", "__tags", lambda a, b: F.struct(a.alias("tok"), b.alias("tag")))).drop("__toks", "__tags")
+
+
+def text_phrases(df: DataFrame, text: str, universal: bool = False, tagger: Tagger = rule_tags) -> DataFrame:
+    """df with phrases of plain text: one array of (tok, tag) of all relational phrases, or, under universal tags, each phrase by itself."""
+    d = tagged_text(df, text, tagger)
+    return d.withColumn("phrases", relphrase.universal_phrases(F.col("tagged")) if universal else relphrase.relational_phrase(F.col("tagged"))).drop("tagged")

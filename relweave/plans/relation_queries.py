@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.config import Config
-from relweave.functions import relphrase, tagging
+from relweave.functions import relphrase
 from relweave.functions import text as T
 from relweave.functions import vectors as V
 from relweave.functions.fuzzy import jaro_winkler_similarity, token_jaccard
@@ -244,9 +244,9 @@ def universal_tags(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def universal_phrases(spark: Spark, d: str) -> DataFrame:
-    rows = sentences(spark, d).select("sent_id", tokens(extract.untagged(F.col("sentence"))).alias("toks")).withColumn("tags", tagging.pos_tags(F.col("toks")))
-    tagged = F.zip_with("toks", "tags", lambda a, b: F.struct(a.alias("tok"), b.alias("tag")))
-    return rows.select("sent_id", F.explode(relphrase.universal_phrases(tagged)).alias("p")).select("sent_id", "p.phrase", F.array_join(F.transform("p.tokens", lambda t: t["tag"]), " ").alias("tags"))
+    plain = sentences(spark, d).select("sent_id", extract.untagged(F.col("sentence")).alias("plain"))
+    rows = extract.text_phrases(plain, "plain", universal=True)
+    return rows.select("sent_id", F.explode("phrases").alias("p")).select("sent_id", "p.phrase", F.array_join(F.transform("p.tokens", lambda t: t["tag"]), " ").alias("tags"))
 
 
 @query()
@@ -455,6 +455,12 @@ def bootstrap_relations(spark: Spark, d: str) -> DataFrame:
     return B.bootstrap(stored(spark, d), positive, negative, config).relations
 
 
+@query(f"with {STORED}, {SEEDS}, {MEMBERS} select pattern_id, array_to_string(list_sort(list(distinct bet_words)), '|') as words from mem where bet_words is not null group by 1")
+def pattern_words(spark: Spark, d: str) -> DataFrame:
+    w = clustering.pattern_words(members(spark, d), stored(spark, d))
+    return w.select("pattern_id", F.array_join("words", "|").alias("words"))
+
+
 # ---- knowledge base
 
 
@@ -667,6 +673,12 @@ def eval_sets(spark: Spark, d: str) -> DataFrame:
     return out
 
 
+@query(f"with {_SETS} select ent1, ent2 from a union select ent1, ent2 from b union select ent1, ent2 from c union select ent1, ent2 from d")
+def eval_truth(spark: Spark, d: str) -> DataFrame:
+    e = _evaluation(spark, d)
+    return E.truth(e.a, e.b, e.c, e.d)
+
+
 @query(f"""with {_SETS}, n as (select (select count(*) from a) as a, (select count(*) from b) as b, (select count(*) from s) as s, (select count(*) from (select distinct ent1, ent2 from c)) as c, (select count(*) from (select distinct ent1, ent2 from d)) as d),
 m as (select *, case when s > 0 then (a + b) / s else 0 end as p, case when a + b + c + d > 0 then (a + b) / (a + b + c + d) else 0 end as r from n)
 select a, b, s, c, d, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from m""")

@@ -123,3 +123,8 @@ def write_report(facts: DataFrame, path: str) -> None:
 def write_index(positions: DataFrame, path: str, buckets: int = 64) -> None:
     """Term positions, laid out by term: files of one range of terms lie together, so a search reads few row groups."""
     positions.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Term positions as write_index left them; a filter on terms reaches the files."""
+    return spark.read.parquet(path)
