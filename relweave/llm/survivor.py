@@ -1,9 +1,10 @@
 """Best record of each group of duplicates, by skyline selection.
 
-A record has the dimensions completeness (which of its fields are valid), trust and recency. Completeness and trust take few
+A record has the dimensions completeness (which of its fields are valid, or how many), trust and recency. Completeness and trust take few
 values, so a group is first pressed into cells: of all records with the same valid fields and the same trust only the
 latest can be undominated, and that one is found by an aggregate that combines before the shuffle. However many rows a group has,
-its skyline is then peeled from a handful of cells.
+its layers are then peeled from a handful of cells. A field's value comes from the first layer that has a valid one, and within the layer by the
+lexicographic policy.
 """
 
 from __future__ import annotations
@@ -41,53 +42,58 @@ def skyline_cells(df: DataFrame, group: list[str], record: str, fields: dict[str
     return out.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], F.coalesce("several", F.lit(False)).alias("several"), "cells")
 
 
-def _dominates(a: Column, b: Column) -> Column:
-    """a is at least as complete, trusted and recent as b, and better in one of these."""
-    covers = a["mask"].bitwiseAND(b["mask"]) == b["mask"]
-    recent = F.coalesce(b["latest"].isNull() | (a["latest"] >= b["latest"]), F.lit(False))
-    return covers & (a["trust"] <= b["trust"]) & recent & ((a["mask"] != b["mask"]) | (a["trust"] != b["trust"]) | ~a["latest"].eqNullSafe(b["latest"]))
+def _dominates(a: Column, b: Column, count: bool) -> Column:
+    """a is at least as complete, trusted and recent as b, and better in one of these. Of equal times the smaller identifier is the more recent."""
+    more = F.bit_count(a["mask"]) >= F.bit_count(b["mask"]) if count else a["mask"].bitwiseAND(b["mask"]) == b["mask"]
+    later = F.when(b["latest"].isNull(), a["latest"].isNotNull()).otherwise(F.coalesce(a["latest"] > b["latest"], F.lit(False)))
+    recent = later | (a["latest"].eqNullSafe(b["latest"]) & (a["record"] < b["record"]))
+    return more & (a["trust"] <= b["trust"]) & recent
 
 
-def survivors(df: DataFrame, group: list[str], record: str, fields: dict[str, Column], trust: Column, recency: str, policy: dict[str, str] | None = None) -> DataFrame:
+def survivors(
+    df: DataFrame, group: list[str], record: str, fields: dict[str, Column], trust: Column, recency: str, policy: dict[str, str] | None = None, completeness: str = "fields"
+) -> DataFrame:
     """One surviving record for each group with at least two records.
 
-    fields: column name to the condition that its value is valid. The undominated cells (the first layer) come first;
-    where the policy finds no valid value of a field there, the next layers fill it. policy of a field is "trust" (trust, then
-    recency) or "recency" (recency alone); ties go to the smallest identifier. As every valid record is dominated, if at all,
-    by one that is valid too and not worse by the policy, the value found is the best of the whole group. Result: group, layers
-    (number of dominance layers), skyline (size of the first), and for each field f its value f and the record f_record; both
-    are null if the group has no valid value.
+    fields: column name to the condition that its value is valid. completeness "fields": a record is as complete as another if it has all
+    its valid fields; "count": if it has as many. Layers are peeled, the undominated records first. A field is taken from the first
+    layer in which it is valid; within the layer policy says by what: "trust" (trust, then recency) or "recency" (recency
+    alone), then the smallest identifier. With "fields" no valid value is lost behind a layer without one, so the first layer has the best of
+    the group by either policy; with "count" a fuller record may hide the only one with a field, and a later layer fills it. Result: group, layers
+    (number of dominance layers), skyline (size of the first), and for each field f its value f, the record f_record and the
+    layer f_layer (from 1); all are null if the group has no valid value.
     """
     policy = policy or {}
     cells = skyline_cells(df, group, record, fields, trust, recency).where("several")
     # layer of a cell: peel off what no remaining cell dominates; a chain is at most as long as the number of cells
     peel = F.aggregate(
         F.sequence(F.lit(1), F.size("cells")),
-        F.struct(F.col("cells").alias("rest"), F.filter(F.col("cells"), lambda c: F.lit(False)).alias("order"), F.lit(0).alias("layers"), F.lit(0).alias("skyline")),
-        lambda acc, _: F.when(F.size(acc["rest"]) == 0, acc).otherwise(_peeled(acc)),
+        F.struct(F.col("cells").alias("rest"), F.transform(F.filter(F.col("cells"), lambda c: F.lit(False)), lambda c: F.struct(F.lit(0).alias("layer"), c.alias("cell"))).alias("order"), F.lit(0).alias("layers"), F.lit(0).alias("skyline")),
+        lambda acc, _: F.when(F.size(acc["rest"]) == 0, acc).otherwise(_peeled(acc, completeness == "count")),
     )
     out = cells.withColumn("__peeled", peel)
     cols = [F.col(g) for g in group] + [F.col("__peeled.layers").alias("layers"), F.col("__peeled.skyline").alias("skyline")]
     for i, f in enumerate(fields):
         best = _best("__peeled.order", i, f, policy.get(f, "trust") == "trust")
         out = out.withColumn(f"__best{i}", best)
-        cols += [F.col(f"__best{i}.value").alias(f), F.col(f"__best{i}.record").alias(f"{f}_record")]
+        cols += [F.col(f"__best{i}.value").alias(f), F.col(f"__best{i}.record").alias(f"{f}_record"), (-F.col(f"__best{i}.layer")).alias(f"{f}_layer")]
     return out.select(*cols)
 
 
-def _best(cells: str, i: int, field: str, by_trust: bool) -> Column:
-    """The best cell with a valid field i by the policy."""
-    valid = F.filter(cells, lambda c: c["mask"].bitwiseAND(1 << i) != 0)
+def _best(order: str, i: int, field: str, by_trust: bool) -> Column:
+    """Of the first layer with a valid field i, the best cell by the policy."""
+    valid = F.filter(order, lambda o: o["cell"]["mask"].bitwiseAND(1 << i) != 0)
     key = lambda c: [(-c["trust"]).alias("trust")] if by_trust else []
-    return F.array_max(F.transform(valid, lambda c: F.struct(*key(c), c["latest"].alias("latest"), (-c["record"]).alias("id"), c["record"].alias("record"), c[field].alias("value"))))
+    one = lambda o, c: F.struct((-o["layer"]).alias("layer"), *key(c), c["latest"].alias("latest"), (-c["record"]).alias("id"), c["record"].alias("record"), c[field].alias("value"))
+    return F.array_max(F.transform(valid, lambda o: one(o, o["cell"])))
 
 
-def _peeled(acc: Column) -> Column:
-    rest = acc["rest"]
-    top = F.filter(rest, lambda c: ~F.exists(rest, lambda o: _dominates(o, c)))
+def _peeled(acc: Column, count: bool) -> Column:
+    rest, layer = acc["rest"], (acc["layers"] + 1)
+    top = F.filter(rest, lambda c: ~F.exists(rest, lambda o: _dominates(o, c, count)))
     return F.struct(
-        F.filter(rest, lambda c: F.exists(rest, lambda o: _dominates(o, c))).alias("rest"),
-        F.concat(acc["order"], top).alias("order"),
-        (acc["layers"] + 1).alias("layers"),
+        F.filter(rest, lambda c: F.exists(rest, lambda o: _dominates(o, c, count))).alias("rest"),
+        F.concat(acc["order"], F.transform(top, lambda c: F.struct(layer.alias("layer"), c.alias("cell")))).alias("order"),
+        layer.alias("layers"),
         F.when(acc["layers"] == 0, F.size(top)).otherwise(acc["skyline"]).alias("skyline"),
     )

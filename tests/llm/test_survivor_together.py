@@ -40,6 +40,22 @@ def test_layers(spark):
     assert (r.skyline, r.layers, r.name_record) == (2, 2, 2)
 
 
+def test_a_layer_decides(spark):
+    day = lambda d: datetime(2024, 1, d)
+    # 1 dominates 2 by the number of its fields, so that its group's c comes from the first layer's 3, though 2 is more trusted
+    rows = [(1, 1, "a", "b", None, 1, day(9)), (1, 2, None, None, "c2", 1, day(8)), (1, 3, "a3", "b3", "c3", 3, day(1))]
+    # here only 5 has c, and 4 dominates it: the second layer fills it
+    rows += [(2, 4, "a", "b", None, 1, day(9)), (2, 5, None, None, "c5", 2, day(8)), (2, 6, None, None, "c6", 2, day(7))]
+    df = spark.createDataFrame(rows, "s bigint, rel bigint, a string, b string, c string, trust int, at timestamp")
+    fields = {f: F.col(f).isNotNull() for f in "abc"}
+    run = lambda how: {r.s: r for r in survivor.survivors(df, ["s"], "rel", fields, F.col("trust"), "at", completeness=how).collect()}
+    got = run("count")
+    assert (got[1].c, got[1].c_layer, got[1].a, got[1].layers) == ("c3", 1, "a", 2)
+    assert (got[2].c, got[2].c_layer, got[2].a, got[2].skyline) == ("c5", 2, "a", 1)
+    got = run("fields")
+    assert (got[1].c, got[1].c_layer) == ("c2", 1) and (got[2].c, got[2].c_layer) == ("c5", 1)
+
+
 def test_pairs_against_counting(spark):
     rng = random.Random(1)
     baskets = {b: [rng.choice("abcdefghij") for _ in range(rng.randint(1, 5))] for b in range(300)}
