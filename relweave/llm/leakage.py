@@ -1,11 +1,10 @@
 """Evaluation passages inside training documents, by a distributed positional inverted index.
 
-Documents are cut into shards; each shard is inverted by itself: term -> positions in the shard's words laid end to end, with
-the start of each document. The index is written as a table, one row for each shard. A query set
-(the evaluation items, stated and small beside the corpus) is matched against every shard: for an item the rarest terms are
-chosen by the shard's posting counts so that every window of the wanted length holds at least one, their lists are
-shifted by the term's offset in the item, and each candidate start is intersected with the shifted lists of the item's other terms. No posting is
-shuffled to answer a query.
+Documents are cut into shards; each shard is inverted by itself: every term -> its positions in the shard's words laid end to end, with
+the start of each document. The index is a table, one row for each shard, that can be written once and searched with any items. A query set
+(the evaluation items, stated and small beside the corpus) is matched against every shard. An item's rarest terms over the whole corpus are
+chosen so that every window of the wanted length holds one; their lists, shifted by the term's offset in the item, are the candidate places, and
+these are intersected with the shifted lists of the neighbouring terms, for all items of a shard at once. No posting is shuffled to answer a query.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.functions import text as T
@@ -26,6 +25,8 @@ SHARD_WORDS = 400_000
 INDEX = "shard bigint, doc_ids array<bigint>, starts array<bigint>, terms array<bigint>, ends array<bigint>, positions array<int>"
 #: Item words sent to every executor at once; a larger set of items is matched in blocks of this size.
 BLOCK_WORDS = 2_000_000
+#: Candidate places compared at once in a shard.
+PLACES = 1_000_000
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,14 +53,9 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield done()
 
 
-def _postings(batches: Iterator[pa.RecordBatch], limit: int, vocabulary: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     for shard, docs, starts, words in _shards(batches, limit):
-        if vocabulary is None:
-            order = np.argsort(words, kind="stable").astype(np.int32)
-        else:
-            slot = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
-            held = np.flatnonzero(vocabulary[slot] == words).astype(np.int32) if len(vocabulary) else np.empty(0, np.int32)
-            order = held[np.argsort(words[held], kind="stable")]
+        order = np.argsort(words, kind="stable").astype(np.int32)
         ranked = words[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
         ends = np.append(first[1:], len(ranked)) if len(ranked) else first
@@ -70,34 +66,43 @@ def _postings(batches: Iterator[pa.RecordBatch], limit: int, vocabulary: np.ndar
         )
 
 
-def build_index(df: DataFrame, record: str, text: str, vocabulary: DataFrame | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
+def build_index(df: DataFrame, record: str, text: str, path: str | None = None, shard_words: int | None = None) -> DataFrame:
     """The written index, a row for each shard: doc_ids, starts (of the documents, and the end), terms, ends, positions.
 
-    Terms are 64-bit hashes of words; the postings of term i are positions[ends[i-1]:ends[i]], ascending. Null texts have no
-    postings, rows with a null identifier are left out. With a vocabulary (column term) only its postings are stored, if it has at most
-    BLOCK_WORDS terms, else all; positions are those of the whole text all the same.
+    Terms are 64-bit hashes of words; the postings of term i are positions[ends[i-1]:ends[i]], ascending. The postings of all words are stored,
+    under path or in the shared folder; open_index reads them again for other items. Null texts have no postings, rows with a null identifier
+    are left out.
     """
     docs = df.select(F.col(record).cast("bigint").alias("doc_id"), F.transform(T.words(F.col(text).cast("string")), lambda w: F.xxhash64(w)).alias("words"))
-    docs = docs.where(F.col("doc_id").isNotNull())
-    sent = None
-    if vocabulary is not None:
-        terms = vocabulary.select("term").distinct().limit(BLOCK_WORDS + 1).toArrow()["term"].to_numpy()  # bounded
-        sent = df.sparkSession.sparkContext.broadcast(np.sort(terms)) if len(terms) <= BLOCK_WORDS else None
-    rows = docs.mapInArrow(lambda it: _postings(it, shard_words, None if sent is None else sent.value), INDEX)
-    return materialize(rows, "index")
+    docs, limit = docs.where(F.col("doc_id").isNotNull()), shard_words or SHARD_WORDS
+    rows = docs.mapInArrow(lambda it: _postings(it, limit), INDEX)
+    if path is None:
+        return materialize(rows, "index")
+    rows.write.parquet(path)
+    return open_index(df.sparkSession, path)
 
 
-class _Queries:
-    """Items as arrays of term hashes, equal texts once."""
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index that build_index wrote."""
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
+    """(item_id, query, words): each item's words. Null identifiers are left out; copies of an item count once, query tells others of one identifier apart."""
+    words = items.select(F.col(item).cast("bigint").alias("item_id"), T.words(F.col(text).cast("string")).alias("words")).where(F.col("item_id").isNotNull())
+    return words.withColumn("query", F.xxhash64("item_id", "words")).distinct()
 
-    def __init__(self, items: pd.DataFrame):
-        self.ids = items["item_id"].to_numpy(np.int64)
-        self.words = [np.asarray(w, np.int64) for w in items["words"]]
-        self.terms = np.unique(np.concatenate(self.words)) if self.words else np.empty(0, np.int64)
+
+def counted(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(item_id, query, at, word, term, n): each word of the items, and how often it occurs in the corpus."""
+    words = queries.select("item_id", "query", F.posexplode("words").alias("at", "word")).withColumn("term", F.xxhash64("word"))
+    each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("ends", i) - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("n")))
+    counts = index.select(F.inline(each)).join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    return words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def _anchors(weight: np.ndarray, length: int) -> list[int]:
-    """Offsets such that each window of length words holds one, the rarest terms being preferred."""
+    """Offsets such that each window of length words holds one, the rarest terms being preferred. Windows with a word that the corpus lacks need none."""
     chosen: list[int] = []
     last = -1
     while last + length < len(weight):
@@ -105,155 +110,184 @@ def _anchors(weight: np.ndarray, length: int) -> list[int]:
         window = weight[last + 1 : last + 1 + length]
         low = window.min()
         last = last + 1 + int(np.flatnonzero(window == low)[-1])
-        chosen.append(last)
+        if low:
+            chosen.append(last)
     return chosen
 
 
-def _match_shard(post: dict[int, np.ndarray], docs: np.ndarray, starts: np.ndarray, q: _Queries, length: int) -> Iterator[tuple[int, int, int]]:
-    """(document, item, longest run) for runs of at least length words."""
-    total = int(starts[-1])
-    none = np.empty(0, np.int32)
-    # item terms as numbers; the shard's words that are item terms laid out by position
-    at = np.zeros(total + 1, np.int32)
-    count = np.zeros(len(q.terms) + 1, np.int64)
-    number = {int(t): i + 1 for i, t in enumerate(q.terms)}
-    for t, p in post.items():
-        k = number.get(t)
-        if k:
-            at[p] = k
-            count[k] = len(p)
-    for item, words in zip(q.ids, q.words):
-        if len(words) < length:
-            continue
-        nums = np.searchsorted(q.terms, words) + 1
-        weight = count[nums]
-        seen: dict[int, int] = {}
-        for o in _anchors(weight, length):
-            lists = post.get(int(words[o]), none)
-            if not len(lists):
-                continue
-            # start of the item if the anchor is at its offset; run length around the anchor by offset-adjusted comparison
-            p = lists.astype(np.int64)
-            doc = np.searchsorted(starts, p, side="right") - 1
-            lo, hi = starts[doc], starts[doc + 1]
-            left = np.zeros(len(p), np.int64)
-            alive = np.arange(len(p))
-            for j in range(1, o + 1):
-                pos = p[alive] - j
-                ok = pos >= lo[alive]
-                ok[ok] = at[pos[ok]] == nums[o - j]
-                alive = alive[ok]
-                if not len(alive):
-                    break
-                left[alive] += 1
-            right = np.zeros(len(p), np.int64)
-            alive = np.arange(len(p))
-            for j in range(1, len(words) - o):
-                pos = p[alive] + j
-                ok = pos < hi[alive]
-                ok[ok] = at[pos[ok]] == nums[o + j]
-                alive = alive[ok]
-                if not len(alive):
-                    break
-                right[alive] += 1
-            run = left + right + 1
-            for d, r in zip(doc[run >= length].tolist(), run[run >= length].tolist()):
-                seen[d] = max(seen.get(d, 0), r)
-        for d, r in seen.items():
-            yield int(docs[d]), int(item), r
-
-
-def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]]:
-    """(postings by term, documents, starts) of each row of the index."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("doc_ids", "starts", "terms", "ends", "positions")}
-            ends = row["ends"].tolist()
-            yield dict(zip(row["terms"].tolist(), (row["positions"][a:b] for a, b in zip([0, *ends], ends)))), row["doc_ids"], row["starts"]
-
+class _Shard:
+    """A row of the index. A posting's key is its term's number and its position in one integer, ascending over the shard."""
+
+    def __init__(self, row: dict[str, np.ndarray]):
+        self.docs, self.starts, self.terms, self.ends = row["doc_ids"], row["starts"], row["terms"], row["ends"]
+        self.positions = row["positions"].astype(np.int64)
+        self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if len(self.ends) else np.empty(0, np.int64)
+        self.wide = int(self.starts[-1]) + 1
+        self.keys = np.repeat(np.arange(len(self.terms)), self.ends - self.begins) * self.wide + self.positions
+
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """The numbers of terms here, -1 for those that do not occur."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[k] == terms, k, -1)
+
+    def places(self, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index into number, position) of every posting of these terms, so many at once."""
+        at = np.flatnonzero(number >= 0)
+        size = self.ends[number[at]] - self.begins[number[at]]
+        cut = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + PLACES, PLACES), side="left")
+        for a, b in zip(cut, [*cut[1:], len(at)]):
+            n = size[a:b]
+            if n.sum():
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield np.repeat(at[a:b], n), self.positions[np.repeat(self.begins[number[at[a:b]]], n) + inside]
+
+    def within(self, number: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the terms have a posting from lo to hi."""
+        if not len(self.keys):
+            return np.zeros(len(number), bool)
+        k = np.searchsorted(self.keys, number * self.wide + lo)
+        found = self.keys[np.minimum(k, len(self.keys) - 1)]
+        return (number >= 0) & (lo <= hi) & (k < len(self.keys)) & (found <= number * self.wide + hi)
+
+    def bounds(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document of each position, and where it begins and ends."""
+        doc = np.searchsorted(self.starts, position, side="right") - 1
+        return doc, self.starts[doc], self.starts[doc + 1]
+
+
+class _Phrases:
+    """Items laid end to end: their words as numbers of distinct terms, and the places of the anchors."""
 
-def _scan(index: DataFrame, match, result: str) -> DataFrame:
-    """match(postings, documents, starts) of every shard, where the shard is; it yields tuples of bigints."""
-    names = [x.split()[0] for x in result.split(", ")]
+    def __init__(self, items: pd.DataFrame):
+        words = [np.asarray(w, np.int64) for w in items["terms"]]
+        size = np.array([len(w) for w in words], np.int64)
+        self.terms, self.word = np.unique(np.concatenate([np.empty(0, np.int64), *words]), return_inverse=True)
+        begin = np.cumsum(size) - size
+        per = np.array([len(x) for x in items["anchors"]], np.int64)
+        self.item, self.begin, self.end = (np.repeat(x, per) for x in (items["item_id"].to_numpy(np.int64), begin, begin + size))
+        self.anchor = self.begin + np.concatenate([np.empty(0, np.int64), *[np.asarray(x, np.int64) for x in items["anchors"]]])
+
+    def match(self, shard: _Shard, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(document, item, run) for runs of at least length words."""
+        number = shard.numbers(self.terms)[self.word]
+        for k, at in shard.places(number[self.anchor]):
+            doc, lo, hi = shard.bounds(at)
+            run = np.ones(len(at), np.int64)
+            for step in (-1, 1):  # the shifted lists of the words before, then after, as long as they hold the place
+                alive, j = np.arange(len(at)), 0
+                while len(alive):
+                    j += step
+                    word, place = self.anchor[k[alive]] + j, at[alive] + j
+                    inside = (word >= self.begin[k[alive]]) & (word < self.end[k[alive]]) & (place >= lo[alive]) & (place < hi[alive])
+                    alive, word, place = alive[inside], word[inside], place[inside]
+                    alive = alive[shard.within(number[word], place, place)]
+                    run[alive] += 1
+            found = run >= length
+            yield shard.docs[doc[found]], self.item[k[found]], run[found]
+
+
+class _Windows:
+    """Windows of items with their rarest terms, the rarest first, and these terms' offsets; short lists are filled with the first."""
+
+    def __init__(self, windows: pd.DataFrame, rarest: int):
+        wide = lambda c: np.array([[*x, *[x[0]] * (rarest - len(x))] for x in windows[c].map(list)], np.int64).reshape(-1, rarest)
+        self.item, self.term, self.offset = windows["item_id"].to_numpy(np.int64), wide("terms"), wide("offsets")
+
+    def match(self, shard: _Shard, slop: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(document, item, places)."""
+        number = shard.numbers(self.term.ravel()).reshape(self.term.shape)
+        whole, pairs, counts = (number >= 0).all(1), [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+        for k, at in shard.places(np.where(whole, number[:, 0], -1)):
+            doc, lo, hi = shard.bounds(at)
+            for c in range(1, self.term.shape[1]):
+                want = at + self.offset[k, c] - self.offset[k, 0]
+                ok = shard.within(number[k, c], np.maximum(want - slop, lo), np.minimum(want + slop, hi - 1))
+                k, at, doc, lo, hi = k[ok], at[ok], doc[ok], lo[ok], hi[ok]
+            pair, n = np.unique(np.stack([doc, self.item[k]], 1), axis=0, return_counts=True)
+            pairs.append(pair), counts.append(n)
+        pair, at = np.unique(np.concatenate(pairs), axis=0, return_inverse=True)
+        yield shard.docs[pair[:, 0]], pair[:, 1], np.bincount(at.ravel(), np.concatenate(counts), len(pair)).astype(np.int64)
+
+
+def _scan(index: DataFrame, match, names: list[str]) -> DataFrame:
+    """match(shard), which yields tuples of arrays of bigints, of every shard, where the shard is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _read_shards(batches):
-            rows = np.array(list(match(*shard)), np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(len(names))], names)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = _Shard({c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("doc_ids", "starts", "terms", "ends", "positions")})
+                for found in match(shard):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
 
-    return index.mapInArrow(run, result)
+    return index.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item_id, words): hashes of each item's words. Null identifiers are left out; copies of an item count once."""
-    return (
-        items.select(F.col(item).cast("bigint").alias("item_id"), F.transform(T.words(F.col(text).cast("string")), lambda w: F.xxhash64(w)).alias("words"))
-        .where(F.col("item_id").isNotNull())
-        .distinct()
-    )
+def _blocks(queries: DataFrame, words: Column) -> list[DataFrame]:
+    """The queries in parts of about BLOCK_WORDS words."""
+    n = queries.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
+    k = -(-n // BLOCK_WORDS) or 1
+    return [queries.where(F.pmod(F.xxhash64("query"), F.lit(k)) == i) for i in range(k)] if k > 1 else [queries]
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    n = queries.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    k = -(-n // BLOCK_WORDS) or 1
-    return [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(k)) == i) for i in range(k)] if k > 1 else [queries]
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def leaks(docs: DataFrame, record: str, text: str, items: DataFrame, item: str, item_text: str, length: int = 12) -> DataFrame:
+def leaks(docs: DataFrame, record: str, text: str, items: DataFrame, item: str, item_text: str, length: int = 12, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, run): documents that share at least length consecutive words with an item, and the longest run.
 
     Items with fewer than length words cannot be found. Repeated items give a row each, repeated rows of a document one. Empty tables
-    give no rows.
+    give no rows. index: an index of docs that is there already; it is built otherwise.
     """
     spark = docs.sparkSession
-    queries = materialize(item_terms(items, item, item_text), "items")
-    vocabulary = queries.select(F.explode("words").alias("term")).distinct()
-    index = build_index(docs, record, text, vocabulary)
-    out = None
-    for block in _blocks(queries):
-        sent = spark.sparkContext.broadcast(_Queries(block.toPandas()))  # at most BLOCK_WORDS words
-        found = _scan(index, lambda post, ids, starts, sent=sent: _match_shard(post, ids, starts, sent.value, length), "doc_id bigint, item_id bigint, run bigint")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
-
-
-def near_passages(docs: DataFrame, record: str, text: str, items: DataFrame, item: str, item_text: str, rarest: int = 4, slop: int = 8) -> DataFrame:
-    """(doc_id, item_id, places): proximity matches. The item's rarest terms of the shard (those that occur there) all stand within
-    slop words of the places that they have in the item. places counts the occurrences of the rarest term where that holds."""
+    index = build_index(docs, record, text) if index is None else index
+    words = counted(item_terms(items, item, item_text).where(F.size("words") >= length), index)
+    rows = words.groupBy("item_id", "query").agg(F.array_sort(F.collect_list(F.struct("at", "term", "n"))).alias("w")).select("item_id", "query", F.col("w.term").alias("terms"), F.col("w.n").alias("n"))
+
+    def anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(anchors=[_anchors(np.asarray(n), length) for n in b["n"]]).drop(columns="n")
+
+    queries = materialize(rows.mapInPandas(anchor, "item_id bigint, query bigint, terms array<bigint>, anchors array<bigint>").where(F.size("anchors") > 0), "phrases")
+    found = []
+    for block in _blocks(queries, F.size("terms")):
+        sent = spark.sparkContext.broadcast(_Phrases(block.toPandas()))  # about BLOCK_WORDS words
+        found.append(_scan(index, lambda shard, sent=sent: sent.value.match(shard, length), ["doc_id", "item_id", "run"]))
+    return _united(found).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+
+
+def near_passages(
+    docs: DataFrame, record: str, text: str, items: DataFrame, item: str, item_text: str, rarest: int = 4, slop: int = 8, window: int = 24, index: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, item_id, places): proximity matches, whole or in part.
+
+    An item is cut into windows of that many words (a last one of less than half joins the one before). Of a window the rarest distinct terms over
+    the whole corpus are taken, or all if it has fewer; ties go to the smaller word; a window of which too few occur at all is nowhere. It
+    is at a place of its rarest term if all the others stand within slop words of where they should, in the same document. places counts
+    these, over all windows. A term that is repeated in a window counts at its first offset.
+    """
     spark = docs.sparkSession
-    queries = materialize(item_terms(items, item, item_text), "items")
-    index = build_index(docs, record, text, queries.select(F.explode("words").alias("term")).distinct())
-    # document frequency over the whole corpus decides which terms are rarest
-    each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("ends", i) - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("n")))
-    count = index.select(F.inline(each)).groupBy("term").agg(F.sum("n").alias("n"))
-    ranked = (
-        queries.select("item_id", F.posexplode("words").alias("offset", "term"))
-        .groupBy("item_id", "term")
-        .agg(F.min("offset").alias("offset"))
-        .join(count, "term")
-        .groupBy("item_id")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, rarest).alias("anchors"))
-        .where(F.size("anchors") == rarest)
-        .select("item_id", F.col("anchors.term").alias("terms"), F.col("anchors.offset").alias("offsets"))
+    index = build_index(docs, record, text) if index is None else index
+    queries = item_terms(items, item, item_text)
+    size = queries.select("query", F.size("words").alias("size"))
+    words = counted(queries, index).join(size, "query")
+    # windows of an item: the whole ones, and a rest of at least half a window
+    many = F.greatest(F.floor((F.col("size") + window - (window + 1) // 2) / window), F.lit(1))
+    words = words.withColumn("window", F.least(F.floor(F.col("at") / window), many - 1))
+    each = words.groupBy("item_id", "query", "window", "word", "term", "n").agg(F.min("at").alias("at"))
+    per = each.groupBy("item_id", "query", "window").agg(
+        F.count(F.lit(1)).alias("distinct"), F.slice(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "word", "term", "at")))), 1, rarest).alias("a")
     )
-    ranked = materialize(ranked, "anchors")
-    sent = spark.sparkContext.broadcast([(r.item_id, r.terms, r.offsets) for r in ranked.toLocalIterator()])
-
-    def match(post: dict[int, np.ndarray], ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        for item_id, terms, offsets in sent.value:
-            lists = [post.get(t) for t in terms]
-            if any(x is None for x in lists):
-                continue
-            p = lists[0].astype(np.int64)
-            doc = np.searchsorted(starts, p, side="right") - 1
-            ok = np.ones(len(p), bool)
-            for x, o in zip(lists[1:], offsets[1:]):
-                want = p + (o - offsets[0])
-                lo = np.searchsorted(x, np.maximum(want - slop, starts[doc]))
-                hi = np.searchsorted(x, np.minimum(want + slop, starts[doc + 1] - 1), side="right")
-                ok &= hi > lo
-            for d, n in zip(*np.unique(doc[ok], return_counts=True)):
-                yield int(ids[d]), int(item_id), int(n)
-
-    found = _scan(index, match, "doc_id bigint, item_id bigint, places bigint")
-    return found.groupBy("doc_id", "item_id").agg(F.max("places").alias("places"))
+    per = per.where((F.size("a") == F.least(F.col("distinct"), F.lit(rarest))) & (F.size("a") > 0))
+    per = materialize(per.select("item_id", "query", F.col("a.term").alias("terms"), F.col("a.at").alias("offsets")), "windows")
+    found = []
+    for block in _blocks(per, F.size("terms")):
+        sent = spark.sparkContext.broadcast(_Windows(block.toPandas(), rarest))  # about BLOCK_WORDS terms
+        found.append(_scan(index, lambda shard, sent=sent: sent.value.match(shard, slop), ["doc_id", "item_id", "places"]))
+    # repeated rows of a document count once: the most places of any
+    return _united(found).groupBy("doc_id", "item_id").agg(F.max("places").alias("places"))

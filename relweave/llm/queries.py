@@ -185,6 +185,21 @@ dg as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') as g from (sele
 ig as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from iw))
 select distinct doc_id, item_id from dg join ig using (g)
 """
+_NEAR = f"""
+with dw as (select doc_id, {_WORDS.format(c="text")} as w from documents where text is not null),
+dp as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from dw), cnt as (select word, count(*) as n from dp group by 1),
+iw as (select item_id, {_WORDS.format(c="text")} as w from eval_items where text is not null),
+ip as (select item_id, len(w) as size, unnest(w) as word, unnest(range(len(w))) as o from iw),
+word_ as (select item_id, least(o // 24, greatest((size + 12) // 24, 1) - 1) as win, word, min(o) as o from ip group by all),
+need as (select item_id, win, least(count(*), 4) as k from word_ group by all),
+chosen as (select * from (select w.*, row_number() over (partition by item_id, win order by n, word) as r from word_ w join cnt using (word)) where r <= 4),
+whole as (select item_id, win, k from need join chosen using (item_id, win) group by all having count(*) = k),
+a as (select c.item_id, c.win, k, c.o, d.doc_id, d.pos from chosen c join whole using (item_id, win) join dp d using (word) where r = 1),
+m as (select a.item_id, a.win, a.doc_id, a.pos, count(distinct c.r) as m from a join chosen c on c.item_id = a.item_id and c.win = a.win and c.r > 1
+  join dp d on d.word = c.word and d.doc_id = a.doc_id and d.pos between a.pos + c.o - a.o - 8 and a.pos + c.o - a.o + 8 group by all)
+select a.doc_id, a.item_id, count(*) as places from a left join m on m.item_id = a.item_id and m.win = a.win and m.doc_id = a.doc_id and m.pos = a.pos
+where coalesce(m, 0) = k - 1 group by all
+"""
 _COS = (
     "case when len(a.{v}) = 64 and len(b.{v}) = 64 and list_sum(list_transform(a.{v}, lambda x: x * x)) > 0 and list_sum(list_transform(b.{v}, lambda x: x * x)) > 0 "
     "then list_cosine_similarity(a.{v}::double[], b.{v}::double[]) else 0 end"
@@ -209,6 +224,7 @@ ORACLE = {
     "p7_found": _PAIRS + "select name_a, name_b from scored where together >= 3 and together * total >= 8 * n_a * n_b",
     "p7_pairs": _PAIRS + "select name_a, name_b, together, n_a, n_b, round(together * total / (n_a * n_b)::double, 6) as lift from scored where together >= 2",
     "p9_found": _GRAMS,
+    "p9_near": _NEAR,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
