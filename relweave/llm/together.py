@@ -13,8 +13,8 @@ from relweave.session import materialize
 
 #: Items of a block; a basket of more items than LARGE is never held in one row, but as blocks of about so many.
 BLOCK, LARGE = 64, 1024
-#: The blocks of a large basket are paired in so many places.
-SALT = 16
+#: The blocks of a large basket are paired in places of so many blocks on one side.
+SIDE = 64
 
 
 def basket_items(df: DataFrame, basket: str, items: Column) -> DataFrame:
@@ -36,9 +36,10 @@ def _small_pairs(sets: DataFrame) -> DataFrame:
 
 def _large_pairs(held: DataFrame) -> DataFrame:
     """(a, b, weight) of every two items of each large basket (basket, item, n), block by block."""
-    blocks = held.withColumn("block", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK))).groupBy("basket", "block").agg(F.collect_list("item").alias("items"))
-    x = blocks.select("basket", F.col("block").alias("i"), F.col("items").alias("x"), F.pmod("block", F.lit(SALT)).alias("salt"))
-    y = blocks.select("basket", F.col("block").alias("j"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    blocks = held.withColumn("block", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK))).groupBy("basket", "block").agg(F.collect_list("item").alias("items"), F.max("n").alias("n"))
+    salts = F.ceil(F.col("n") / (BLOCK * SIDE))
+    x = blocks.select("basket", F.col("block").alias("i"), F.col("items").alias("x"), F.pmod("block", salts).alias("salt"))
+    y = blocks.select("basket", F.col("block").alias("j"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
     both = x.join(y, ["basket", "salt"]).where(F.col("i") <= F.col("j"))
     pairs = both.select("i", "j", "y", F.explode("x").alias("p")).select("i", "j", "p", F.explode("y").alias("q")).where((F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(1).cast("bigint").alias("weight"))
