@@ -1,5 +1,9 @@
 """Containers of fixed capacity filled with items, by linear grouping.
 
+Large lengths are rounded up within groups of equal cardinality, so that few sizes are left; configurations of these are chosen one after another, each
+the fullest that holds an item of the largest size left (a dynamic program over the capacity, greedy over the configurations, not a linear program),
+and used as often as the counts allow; documents take the places of their group by rank; small ones go by best fit into what is left.
+
 Everything that is decided on the driver is decided on counts by length, of which there are at most as many as the capacity: how
 often each configuration of rounded lengths is used, and how many small items of each length go into how many containers with
 which free space. Which documents these are follows on the executors from a document's rank among those of its length. So the
@@ -15,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.tokens import VOCABULARY, count_tokens
+from relweave.llm.tokens import count_tokens
 from relweave.session import materialize
 
 #: Groups of equal cardinality to which large lengths are rounded up.
@@ -228,7 +232,7 @@ def pack(counts: DataFrame, capacity: int = 4096) -> DataFrame:
     return rows_out.select("doc_id", "piece", "first_token", length, "container_id")
 
 
-def pack_documents(df: DataFrame, record: str, text: str, capacity: int = 4096, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(df: DataFrame, record: str, text: str, capacity: int = 4096, vocabulary: str | None = None) -> DataFrame:
     """pack() of texts measured in tokens of the vocabulary."""
     return pack(count_tokens(df, record, text, vocabulary), capacity)
 
@@ -239,3 +243,20 @@ def unused(packed: DataFrame, capacity: int = 4096) -> DataFrame:
     a = per.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.max("n").alias("fullest"))
     d = packed.where("piece = 0").agg(F.count(F.lit(1)).alias("documents"))
     return a.crossJoin(d).select("containers", "documents", "tokens", "fullest", F.try_divide(F.col("containers") * capacity - F.col("tokens"), F.col("containers") * capacity).alias("unused_share"))
+
+
+def faults(packed: DataFrame, counts: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row that counts what is wrong with pack(counts): all zeros, besides documents, if nothing is.
+
+    overfull: containers over the capacity; lost and strange: documents without a container, and those that counts has not; cut: documents within the
+    capacity in more than one piece; short: documents whose pieces do not add up or do not follow each other.
+    """
+    once = counts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.coalesce(F.max("n_tokens"), F.lit(0)).alias("__n"))
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("__sum"), F.count(F.lit(1)).alias("__k"), F.max(F.col("first_token") + F.col("n_tokens")).alias("__end"), F.count_distinct("piece").alias("__pieces"))
+    both = once.join(per, "doc_id", "full")
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
+    d = both.agg(
+        n(F.col("__n").isNotNull())("documents"), n(F.col("__k").isNull())("lost"), n(F.col("__n").isNull())("strange"), n((F.col("__n") <= capacity) & (F.col("__k") > 1))("cut"),
+        n((F.col("__sum") != F.col("__n")) | (F.col("__end") != F.col("__n")) | (F.col("__pieces") != F.col("__k")))("short"),
+    )
+    return d.crossJoin(packed.groupBy("container_id").agg(F.sum("n_tokens").alias("__t")).agg(n(F.col("__t") > capacity)("overfull")))

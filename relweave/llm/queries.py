@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from relweave.functions import text as T
 from relweave.llm import clusters, frequency, leakage, names, near_duplicates, packing, splitting, survivor, together
+from relweave.llm.tokens import count_tokens
 from relweave.plans.tables import table
+from relweave.session import materialize
 
 VECTORS = {"bef_vector": 0.2, "bet_vector": 0.6, "aft_vector": 0.2}
 ENTITIES = {"entity_1": "e1_type", "entity_2": "e2_type"}
@@ -96,6 +98,11 @@ def p8_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing.unused(packing.pack_documents(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    counts = materialize(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "counts")
+    return packing.faults(packing.pack(counts), counts)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -109,6 +116,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("piece = 0").select("doc_id").distinct()
 
 
+def p10_faults(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return splitting.faults(splitting.split_documents(docs, "doc_id", "text"), docs, "doc_id", "text")
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -223,14 +235,16 @@ ORACLE = {
     "p6_records": _RANKED + "select s.sent_id, s.pos, b0.entity_1, b1.entity_2, b2.confidence " + _JOINED,
     "p7_found": _PAIRS + "select name_a, name_b from scored where together >= 3 and together * total >= 8 * n_a * n_b",
     "p7_pairs": _PAIRS + "select name_a, name_b, together, n_a, n_b, round(together * total / (n_a * n_b)::double, 6) as lift from scored where together >= 2",
+    "p8_faults": "select count(distinct doc_id) as documents, 0 as lost, 0 as strange, 0 as cut, 0 as short, 0 as overfull from documents",
     "p9_found": _GRAMS,
     "p9_near": _NEAR,
+    "p10_faults": "select 0 as too_long, 0 as gaps, 0 as wrong_text, 0 as overlapping, 0 as unnatural",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_terms, p3_found, p3_clusters, p4_found, p4_names, p5_found, p5_groups, p6_found, p6_records, p7_found, p7_pairs,
-        p8_containers, p8_unused, p9_found, p9_near, p10_found, p10_pieces,
+        p8_containers, p8_unused, p8_faults, p9_found, p9_near, p10_found, p10_pieces, p10_faults,
     )
 }

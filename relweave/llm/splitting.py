@@ -1,21 +1,23 @@
 """Oversized texts cut at natural boundaries, by lexical cohesion.
 
-Within the last part of each piece's size window every natural boundary (paragraph, line, sentence) is scored by how unlike the
+Within the last part of each piece's size window every natural boundary (end of a paragraph, line or sentence) is scored by how unlike the
 words before and after it are: the cosine of two sliding blocks falls into a valley where the topic changes. The deepest
-valley is the cut. The next piece begins about the overlap before it, at the start of a word.
+valley is the cut, whatever the boundary's kind; of equally deep ones the end of a paragraph, then of a line, then of a sentence, then the last. Where the last
+part has no natural boundary, the search goes back to the start of the piece. The next piece begins about the overlap before, at the start of a word.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.tokens import VOCABULARY, encoding
+from relweave.llm.tokens import encoding, vocabulary_of
 
 #: Words of a block, hash buckets of its words, and the share of the limit from which a cut may be made.
 BLOCK, BUCKETS, FROM = 80, 128, 0.7
@@ -29,12 +31,9 @@ KINDS = ["paragraph", "line", "sentence", "word", "none"]
 
 def _valleys(text: str, cuts: np.ndarray) -> np.ndarray:
     """Depth of the similarity valley at each cut (character offsets, ascending)."""
-    at, bucket = [], []
-    for m in _WORD.finditer(text):
-        w = m.group()
-        if len(w) > 3:
-            at.append(m.start())
-            bucket.append(hash_word(w))
+    found = [(m.start(), m.group()) for m in _WORD.finditer(text)]
+    at = [i for i, w in found if len(w) > 3]
+    bucket = [hash_word(w) for _, w in found if len(w) > 3]
     n = len(at)
     if not n:
         return np.zeros(len(cuts))
@@ -63,25 +62,39 @@ def _valleys(text: str, cuts: np.ndarray) -> np.ndarray:
 
 def hash_word(w: str) -> int:
     """Bucket of a word, the same in every process."""
-    h = 2166136261
-    for c in w.lower()[:12].encode():
-        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-    return h % BUCKETS
-
-
-def _boundary(text: str, lo: int, hi: int) -> tuple[int, str]:
-    """The cut in (lo, hi] and its kind: the deepest valley among paragraph ends, else line ends, else sentence ends, else the last space."""
-    for kind, pattern in (("paragraph", _PARAGRAPH), ("line", _LINE), ("sentence", _SENTENCE)):
-        cuts = [m.end() for m in pattern.finditer(text, lo, hi) if lo < m.end() <= hi]
-        if cuts:
-            around = text[max(0, lo - 12 * BLOCK) : hi + 12 * BLOCK]
-            depth = _valleys(around, np.asarray(cuts) - max(0, lo - 12 * BLOCK))
-            best = depth.max()
-            return cuts[max(i for i, d in enumerate(depth) if d == best)], kind
+    return zlib.crc32(w.lower()[:12].encode()) % BUCKETS
+
+
+def _natural(text: str, lo: int, hi: int) -> dict[int, int]:
+    """Ends of paragraphs, lines and sentences in (lo, hi], each with the number of its first kind."""
+    out: dict[int, int] = {}
+    for k, pattern in enumerate((_PARAGRAPH, _LINE, _SENTENCE)):
+        for m in pattern.finditer(text, lo, hi):
+            if lo < m.end() <= hi:
+                out.setdefault(m.end(), k)
+    return out
+
+
+def _boundary(text: str, start: int, lo: int, hi: int) -> tuple[int, str]:
+    """The cut in (lo, hi], or else in (start, lo], and its kind: the natural boundary in the deepest valley, or the last space."""
+    for a, b in ((lo, hi), (start, lo)):
+        if found := _natural(text, a, b):
+            cuts, margin = sorted(found), 12 * BLOCK
+            depth = _valleys(text[max(0, a - margin) : b + margin], np.asarray(cuts) - max(0, a - margin))
+            best = max(range(len(cuts)), key=lambda i: (round(float(depth[i]), 6), -found[cuts[i]], i))
+            return cuts[best], KINDS[found[cuts[best]]]
     spaces = [m.start() for m in _SPACE.finditer(text, lo, hi) if lo < m.start() <= hi]
     return (spaces[-1], "word") if spaces else (hi, "none")
 
 
+def _offsets(text: str, tokens: list[int], enc) -> np.ndarray:
+    """The character at which each token begins (that it begins inside of), and the end."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    size = np.fromiter(map(len, enc.decode_tokens_bytes(tokens)), np.int64, len(tokens))
+    char = np.cumsum((raw & 0xC0) != 0x80) - 1
+    return np.append(char[np.cumsum(size) - size], len(text))
+
+
 def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int, int, str]]:
     """(start, end, tokens, boundary) of the pieces, in order; boundary is what the piece ends at ("end" for the last).
 
@@ -91,7 +104,7 @@ def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int,
     tokens = enc.encode_ordinary(text)
     if len(tokens) <= limit:
         return [(0, len(text), len(tokens), "end")]
-    offsets = np.asarray(enc.decode_with_offsets(tokens)[1] + [len(text)])
+    offsets = _offsets(text, tokens, enc)
     out, start = [], 0
     while True:
         i = int(np.searchsorted(offsets, start))
@@ -103,7 +116,7 @@ def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int,
         hi = int(offsets[min(i + limit, len(tokens) - 1)])
         lo = int(offsets[min(i + int(limit * FROM), len(tokens) - 1)])
         while True:
-            end, kind = _boundary(text, max(lo, start), max(hi, start + 1))
+            end, kind = _boundary(text, start, max(lo, start), max(hi, start + 1))
             n = len(enc.encode_ordinary(text[start:end]))
             if n <= limit:
                 break
@@ -128,15 +141,17 @@ def _resume(text: str, offsets: np.ndarray, start: int, end: int, overlap: int)
     return p if start < p < end else end
 
 
-def split_documents(df: DataFrame, record: str, text: str, limit: int = 4096, overlap: int = 64, vocabulary: str = VOCABULARY) -> DataFrame:
+def split_documents(df: DataFrame, record: str, text: str, limit: int = 4096, overlap: int = 64, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start_char, end_char, n_tokens, boundary, text) of every text over the limit.
 
     Offsets count characters. Texts within the limit, null and empty ones have no rows. A byte-level token has at least one
     byte, so texts of at most limit bytes are known to be within it and are not encoded. Every row is a document of its own.
     """
 
+    path = vocabulary_of(df, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding(path)
         for b in batches:
             rows = []
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -150,3 +165,24 @@ def split_documents(df: DataFrame, record: str, text: str, limit: int = 4096, ov
     long = df.select(F.col(record).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     long = long.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit))
     return long.mapInArrow(run, "doc_id bigint, piece int, start_char bigint, end_char bigint, n_tokens bigint, boundary string, text string")
+
+
+def faults(pieces: DataFrame, df: DataFrame, record: str, text: str, limit: int = 4096, overlap: int = 64) -> DataFrame:
+    """One row that counts what is wrong with split_documents(): all zeros if nothing is.
+
+    too_long: pieces over the limit; gaps: pieces that begin after the one before ends, or not after its start, and documents not covered to their
+    ends; wrong_text: pieces that are not what the document has there; overlapping: pieces that share with the next more than 16 characters a token
+    of the overlap; unnatural: cuts at a space or inside a word, though the piece has a paragraph's end.
+    """
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    own = df.select(F.col(record).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("__whole"))
+    p = pieces.withColumn("__next", F.lead("start_char").over(w)).withColumn("__last", F.lead("start_char").over(w).isNull()).join(own, "doc_id")
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
+    ended = F.when(F.col("__last"), F.col("end_char") != F.length("__whole")).otherwise((F.col("__next") > F.col("end_char")) | (F.col("__next") <= F.col("start_char")))
+    return p.agg(
+        n(F.col("n_tokens") > limit)("too_long"),
+        n(ended | ((F.col("piece") == 0) & (F.col("start_char") != 0)))("gaps"),
+        n(F.expr("substring(__whole, cast(start_char + 1 as int), cast(end_char - start_char as int))") != F.col("text"))("wrong_text"),
+        n(~F.col("__last") & (F.col("end_char") - F.col("__next") > 16 * overlap))("overlapping"),
+        n(F.col("boundary").isin("word", "none") & F.col("text").rlike(r"[\p{L}.]\n[ \t]*\n\s*\p{L}"))("unnatural"),
+    )

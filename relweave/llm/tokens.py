@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranks of a byte-level BPE with 50,256 tokens; any file of this form can be given.
+#: Ranks of a byte-level BPE with 50,256 tokens, where the session names no other file of this form in spark.relweave.vocabulary. All executors must
+#: have the file there.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that cuts text before that vocabulary's merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,11 +27,17 @@ def encoding(path: str = VOCABULARY, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(df: DataFrame, record: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def vocabulary_of(df: DataFrame, given: str | None = None) -> str:
+    """The rank file: the one given, else the session's, else VOCABULARY."""
+    return given or df.sparkSession.conf.get("spark.relweave.vocabulary", VOCABULARY)
+
+
+def count_tokens(df: DataFrame, record: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens): one row for each row of df with an identifier; null and empty texts have 0 tokens."""
+    path = vocabulary_of(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding(path)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
