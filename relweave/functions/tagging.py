@@ -1,4 +1,5 @@
-"""Part-of-speech tags (Penn Treebank). The tagger is a parameter; the default one knows closed word classes and endings."""
+"""Part-of-speech tags (Penn Treebank). The tagger is a parameter; the default one knows closed word classes and endings, and is a native
+expression. functions.perceptron has one that is trained from tagged sentences."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relweave.functions.text import let
+
 Tagger = Callable[[list[str]], list[str]]
 
 # Closed word classes by tag.
@@ -38,7 +41,7 @@ def rule_tags(words: list[str]) -> list[str]:
     for i, w in enumerate(words):
         low, before = w.lower(), out[-1] if out else ""
         if not any(c.isalnum() for c in w) and low not in _LEXICON:
-            tag = {",": ",", ".": ".", "?": ".", "!": ".", "``": "``", "''": "''", "(": "(", ")": ")"}.get(w, ":")
+            tag = _MARKS.get(w, ":")
         elif low in _LEXICON:
             tag = _LEXICON[low]
         elif _NUMBER.match(w):
@@ -56,11 +59,66 @@ def rule_tags(words: list[str]) -> list[str]:
     return out
 
 
+#: A past form after one of these is a participle, a base form after one of those is a verb. Their own tags do not depend on the words before, so a
+#: token's tag depends on the token before alone.
+_HELPING = ["is", "are", "was", "were", "be", "been", "has", "have", "had", ","]
+_LEADING = [w for w, t in _LEXICON.items() if t in ("TO", "MD")]
+_MARKS = {",": ",", ".": ".", "?": ".", "!": ".", "``": "``", "''": "''", "(": "(", ")": ")"}
+_BY_TAG = {t: [w for w, u in _LEXICON.items() if u == t] for t in dict.fromkeys(_LEXICON.values())}
+
+
+def _native_tag(w: Column, i: Column, before: Column) -> Column:
+    low = F.lower(w)
+    tag = F.when(F.lit(False), "")
+    for t, words in _BY_TAG.items():
+        tag = tag.when(low.isin(words), t)
+    no_word = ~w.rlike(r"[\p{L}\p{N}]")
+    for mark, t in _MARKS.items():
+        tag = tag.when(w == mark, t)
+    tag = tag.when(no_word, ":").when(w.rlike(_NUMBER.pattern), "CD").when(w.rlike(r"^\p{Lu}") & (i > 0), "NNP")
+    for ending, t in _SUFFIX:
+        tag = tag.when(low.endswith(ending) & (F.length(low) > len(ending) + 2), t)
+    tag = tag.when(w.rlike(r"^\p{Lu}"), "NNP").when(low.endswith("s") & ~low.endswith("ss"), "NNS").otherwise("NN")
+    return let(tag, lambda t: F.when((t == "VBD") & F.coalesce(before.isin(_HELPING), F.lit(False)), "VBN").when(t.isin("NN", "NNS") & F.coalesce(before.isin(_LEADING), F.lit(False)), "VB").otherwise(t))
+
+
+def native_rule_tags(tokens: Column) -> Column:
+    """rule_tags as a native expression: no Python, no row leaves the JVM. Null for null."""
+    return F.transform(tokens, lambda w, i: _native_tag(w, i, F.when(i > 0, F.lower(F.get(tokens, i - 1)))))
+
+
+def rule_tags_sql(tokens: str) -> str:
+    """rule_tags of a list of tokens in SQL."""
+    texts = lambda ws: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + ")"
+    low, before = "lower(x)", f"case when i > 1 then lower({tokens}[i - 1]) else '' end"
+    whens = [f"when {low} in {texts(ws)} then '{t}'" for t, ws in _BY_TAG.items()]
+    whens += [f"when x in {texts([m])} then {texts([t])[1:-1]}" for m, t in _MARKS.items()]
+    whens += ["when not regexp_matches(x, '[\\p{L}\\p{N}]') then ':'", f"when regexp_matches(x, '{_NUMBER.pattern}') then 'CD'", "when regexp_matches(x, '^\\p{Lu}') and i > 1 then 'NNP'"]
+    whens += [f"when {low} like '%{e}' and length({low}) > {len(e) + 2} then '{t}'" for e, t in _SUFFIX]
+    tag = "case " + " ".join(whens) + f" when regexp_matches(x, '^\\p{{Lu}}') then 'NNP' when {low} like '%s' and {low} not like '%ss' then 'NNS' else 'NN' end"
+    fixed = lambda t: f"case when {t} = 'VBD' and {before} in {texts(_HELPING)} then 'VBN' when {t} in ('NN', 'NNS') and {before} in {texts(_LEADING)} then 'VB' else {t} end"
+    first = f"list_transform({tokens}, lambda x, i: {tag})"
+    return f"list_transform({first}, lambda y, i: {fixed('y')})"
+
+
 def pos_tags(tokens: Column, tagger: Tagger = rule_tags) -> Column:
-    """array<string> of tags, one for each token, in Arrow batches. tagger maps a list of tokens to as many tags."""
+    """array<string> of tags, one for each token. tagger maps a list of tokens to as many tags; the default one runs as a native expression, any other
+    in Arrow batches, each distinct sentence of a batch once."""
+    if tagger is rule_tags:
+        return native_rule_tags(tokens)
 
     @F.pandas_udf("array<string>")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: None if t is None else list(tagger(list(t))))
+        seen: dict[tuple[str, ...], list[str]] = {}
+        out = []
+        for t in batch:
+            if t is None:
+                out.append(None)
+                continue
+            key = tuple(t)
+            if key not in seen:
+                seen[key] = list(tagger(list(key)))
+            out.append(seen[key])
+        return pd.Series(out, dtype=object)
 
     return run(tokens)

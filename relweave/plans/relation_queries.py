@@ -13,6 +13,7 @@ from relweave.functions import text as T
 from relweave.functions import vectors as V
 from relweave.functions.fuzzy import jaro_winkler_similarity, token_jaccard
 from relweave.functions.stopwords import FILTER_TAGS, NOT_VALID, STOPWORDS
+from relweave.functions.tagging import pos_tags, rule_tags_sql
 from relweave.functions.tokenize import tokens, tokens_sql
 from relweave.operators import clustering, extract, matching, scoring
 from relweave.operators import evaluation as E
@@ -242,17 +243,59 @@ def universal_tags(spark: Spark, d: str) -> DataFrame:
     return _tagged(spark, d).select("rel_id", F.array_join(F.transform("tagged", lambda t: relphrase.universal_tag(t["tag"])), " ").alias("tags"))
 
 
-@query()
+# ---- the same with the default tagger, over whole sentences
+
+_CLASS = "case " + " ".join(f"when t in {_in(v)} then '{k}'" for k, v in relphrase.CLASS_TAGS.items()) + " else 'O' end"
+_UNIVERSAL = "case " + " ".join(f"when t in {_in([k for k, v in relphrase.UNIVERSAL.items() if v == u])} then '{u}'" for u in dict.fromkeys(relphrase.UNIVERSAL.values())) + " else 'X' end"
+_UCLASS = "case " + " ".join(f"when u = '{k}' then '{v}'" for k, v in relphrase.UNIVERSAL_CLASS.items()) + " else 'O' end"
+# the number of the phrase that holds each token, or 0
+_GROUPS = """list_reduce(list_prepend({st: 0, n: 0, p: []::int[], c: ''}, list_transform(cl, lambda c: {st: 0, n: 0, p: []::int[], c: c})), lambda a, b: {
+  st: case when a.st = 0 then case when b.c = 'V' then 1 else 0 end
+    when a.st = 1 then case when b.c in ('V', 'R', 'T') then 1 when b.c in ('N', 'J', 'P', 'D') then 2 when b.c = 'I' then 3 else 0 end
+    when a.st = 2 then case when b.c in ('N', 'J', 'R', 'P', 'D') then 2 when b.c in ('I', 'T') then 3 else 0 end
+    else case when b.c in ('I', 'T') then 3 else 0 end end,
+  n: case when a.st = 0 and b.c = 'V' then a.n + 1 else a.n end,
+  p: list_append(a.p, case when (a.st = 0 and b.c = 'V') then a.n + 1 when (a.st = 1 and b.c in ('V', 'R', 'T', 'N', 'J', 'P', 'D', 'I')) or (a.st = 2 and b.c in ('N', 'J', 'R', 'P', 'D', 'I', 'T'))
+    or (a.st = 3 and b.c in ('I', 'T')) then a.n else 0 end),
+  c: b.c}).p"""
+_TEXT = f"{SENT}, tk as (select sent_id, {_TOKS} as toks from sent), tg as (select *, {rule_tags_sql('toks')} as tags from tk)"
+_PASSIVE = f"""coalesce(pw[len(pw)] = 'by' and ((len(pw) >= 3 and substr(pg[1], 1, 1) = 'V' and (pg[len(pw) - 1] in ('VBN', 'VBD') or (pw[1] in {_in(relphrase.BE)} and pg[2] in ('VBN', 'VBD'))))
+  or (len(pw) = 2 and pg[1] in ('VBN', 'VBD'))), false)"""
+
+
+@query(f"with {_TEXT} select sent_id, array_to_string(tags, ' ') as tags from tg")
+def sentence_tags(spark: Spark, d: str) -> DataFrame:
+    plain = sentences(spark, d).select("sent_id", tokens(extract.untagged(F.col("sentence"))).alias("toks"))
+    return plain.select("sent_id", F.array_join(pos_tags(F.col("toks")), " ").alias("tags"))
+
+
+@query(f"""with {_TEXT}, cls as (select *, list_transform(tags, lambda t: {_CLASS}) as cl from tg), g as (select *, {_GROUPS} as grp from cls)
+select sent_id, array_to_string(list_filter(toks, lambda x, i: grp[i] > 0), ' ') as phrase, array_to_string(list_filter(tags, lambda x, i: grp[i] > 0), ' ') as tags from g""")
+def text_phrases(spark: Spark, d: str) -> DataFrame:
+    plain = sentences(spark, d).select("sent_id", extract.untagged(F.col("sentence")).alias("plain"))
+    rows = extract.text_phrases(plain, "plain")
+    return rows.select("sent_id", extract.joined(F.col("phrases")).alias("phrase"), F.array_join(F.transform("phrases", lambda t: t["tag"]), " ").alias("tags"))
+
+
+@query(f"""with {_TEXT}, uni as (select sent_id, toks, list_transform(tags, lambda t: {_UNIVERSAL}) as us from tg), cls as (select *, list_transform(us, lambda u: {_UCLASS}) as cl from uni),
+g as (select *, {_GROUPS} as grp from cls), each as (select *, unnest(range(1, coalesce(list_max(grp), 0) + 1)) as k from g)
+select sent_id, array_to_string(list_filter(toks, lambda x, i: grp[i] = k), ' ') || ' ' as phrase, array_to_string(list_filter(us, lambda x, i: grp[i] = k), ' ') as tags from each""")
 def universal_phrases(spark: Spark, d: str) -> DataFrame:
     plain = sentences(spark, d).select("sent_id", extract.untagged(F.col("sentence")).alias("plain"))
     rows = extract.text_phrases(plain, "plain", universal=True)
     return rows.select("sent_id", F.explode("phrases").alias("p")).select("sent_id", "p.phrase", F.array_join(F.transform("p.tokens", lambda t: t["tag"]), " ").alias("tags"))
 
 
-@query()
+@query(f"""with {PAIRED}, tg as (select *, {rule_tags_sql('toks')} as tags from pair where {_VALID}),
+cls as (select *, tags[start + k:start2 - 1] as g, list_transform(tags[start + k:start2 - 1], lambda t: {_CLASS}) as cl from tg), gr as (select *, {_GROUPS} as grp from cls),
+ph as (select *, list_filter(between_, lambda x, i: grp[i] > 0) as pw, list_filter(g, lambda x, i: grp[i] > 0) as pg from gr),
+ch as (select *, case when len(pw) > 0 then pw else between_ end as cw, case when len(pw) > 0 then pg else g end as cg from ph)
+select sent_id, pos, ent1, ent2, array_to_string(before, ' ') as bef_words, array_to_string(between_, ' ') as bet_words, array_to_string(after_, ' ') as aft_words, {_PASSIVE} as passive_voice,
+  array_to_string(list_filter(cw, lambda x, i: lower(x) not in {_in(STOPWORDS)} and cg[i] not in {_in(FILTER_TAGS)}), ' ') as content from ch""")
 def tagged_relationships(spark: Spark, d: str) -> DataFrame:
     rows = extract.tuples(extract.relationships(sentences(spark, d), typed=False))
-    return rows.select("sent_id", "pos", "ent1", "ent2", "bef_words", "bet_words", "aft_words", "passive_voice", F.array_join("bet_filtered", " ").alias("content"))
+    content = F.array_join("bet_filtered", " ").alias("content")
+    return rows.select("sent_id", F.col("pos").cast("bigint").alias("pos"), "ent1", "ent2", "bef_words", "bet_words", "aft_words", "passive_voice", content)
 
 
 # ---- vectors. A word's vector is that of the identifier made of its length and first letter.
