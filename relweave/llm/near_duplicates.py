@@ -9,7 +9,6 @@ chance collisions. What the estimate does not rule out is compared exactly.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,11 +88,16 @@ def word_hashes(df: DataFrame, record: str, text: str) -> DataFrame:
     return rows.groupBy("id").agg(F.max("t").alias("t")).select("id", F.sort_array(F.transform(T.words(F.col("t")), lambda w: F.xxhash64(w))).alias("hashes"))
 
 
-def classes(records: DataFrame) -> DataFrame:
-    """(id, rep, n_words): rep is the smallest identifier with an equal multiset of words, which two hashes over it and its size tell."""
+def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, rep, n_words), and classes of equal multisets of words, which two hashes over it and its size tell: (rep, n_words, hashes).
+
+    rep is the smallest identifier. Both are written once; the classes carry the words, which all members have in common.
+    """
     keys = ["k1", "k2", "n_words"]
-    named = records.select("id", F.xxhash64("hashes").alias("k1"), F.hash("hashes").alias("k2"), F.size("hashes").alias("n_words"))
-    return named.join(named.groupBy(*keys).agg(F.min("id").alias("rep")), keys).select("id", "rep", "n_words")
+    named = records.withColumns({"k1": F.xxhash64("hashes"), "k2": F.hash("hashes"), "n_words": F.size("hashes")})
+    reps = materialize(named.groupBy(*keys).agg(F.min("id").alias("rep"), F.any_value("hashes").alias("hashes")), "classes")
+    members = materialize(named.select("id", *keys).join(reps.select("rep", *keys), keys).select("id", "rep", "n_words"), "members")
+    return members, reps.select("rep", "n_words", "hashes")
 
 
 def estimate(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
@@ -111,27 +115,35 @@ def estimate(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Exact multiset similarity of the pairs' hashes, where it reaches the threshold."""
+
+    def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        off = np.asarray(column.offsets, np.int64)
+        flat, off = np.asarray(column.values, np.int64)[off[0] : off[-1]], off - off[0]
+        size = np.diff(off)
+        with np.errstate(over="ignore"):  # the pair's number is mixed in, so that all pairs are compared at once
+            return _mixed(numbered(flat, off) + np.repeat(np.arange(len(size)), size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), size
+
     for b in batches:
-        x, y = b.column("ha").to_pylist(), b.column("hb").to_pylist()
-        sim = np.empty(len(x))
-        for i, (p, q) in enumerate(zip(x, y)):
-            shared = sum((Counter(p) & Counter(q)).values())
-            # the threshold is met in whole numbers: 0.7 of 10 words is 7 words
-            sim[i] = shared / (len(p) + len(q) - shared) if shared >= threshold * (len(p) + len(q) - shared) - 1e-9 else -1
-        keep = pa.array(np.flatnonzero(sim >= 0))
-        yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep), pa.array(sim[sim >= 0])], ["a", "b", "similarity"])
+        if not b.num_rows:
+            continue
+        (x, p), (y, q) = elements(b.column("ha")), elements(b.column("hb"))
+        shared = np.bincount(np.repeat(np.arange(len(p)), p)[np.isin(x, y)], minlength=len(p))
+        union = p + q - shared
+        # the threshold is met in whole numbers: 0.7 of 10 words is 7 words
+        keep = np.flatnonzero(shared >= threshold * union - 1e-9)
+        yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep)), pa.array(shared[keep] / union[keep])], ["a", "b", "similarity"])
 
 
-def class_pairs(records: DataFrame, members: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN) -> DataFrame:
+def class_pairs(reps: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN) -> DataFrame:
     """(a, b, similarity): pairs of classes a < b with at least that similarity."""
-    reps = records.join(members.where("id = rep and n_words > 0").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), "hashes")
-    banded = reps.mapInArrow(lambda it: _sign(it, bands, rows), "key int, rep bigint, s0 bigint, s1 bigint")
+    words = reps.where("n_words > 0").select("rep", "hashes")
+    banded = words.mapInArrow(lambda it: _sign(it, bands, rows), "key int, rep bigint, s0 bigint, s1 bigint")
     x = banded.select("key", F.col("rep").alias("a"), F.col("s0").alias("x0"), F.col("s1").alias("x1"))
     y = banded.select("key", F.col("rep").alias("b"), F.col("s0").alias("y0"), F.col("s1").alias("y1"))
     # A self-join on the band key: a hot key is split by adaptive skew handling, never collected. One exchange serves both sides.
     near = estimate((F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))) >= threshold - margin
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    both = pairs.join(records.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(records.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    both = pairs.join(words.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(words.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
     return both.select("a", "b", "ha", "hb").mapInArrow(lambda it: _compare(it, threshold), "a bigint, b bigint, similarity double")
 
 
@@ -141,9 +153,8 @@ def near_duplicate_pairs(df: DataFrame, record: str, text: str, threshold: float
     Pairs inside a class have similarity 1, also those of texts without words. The result is as large as the classes make it;
     near_duplicate_groups gives one row a record instead.
     """
-    records = word_hashes(df, record, text)
-    members = materialize(classes(records), "members")
-    pairs = class_pairs(records, members, threshold)
+    members, reps = classes(word_hashes(df, record, text))
+    pairs = class_pairs(reps, threshold)
     m = members.select("id", "rep")
     inside = m.alias("x").join(m.alias("y"), F.col("x.rep") == F.col("y.rep")).where(F.col("x.id") < F.col("y.id"))
     inside = inside.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(1.0).alias("similarity"))
@@ -162,9 +173,8 @@ def near_duplicate_groups(df: DataFrame, record: str, text: str, threshold: floa
     class_id is the smallest record with an equal word multiset, group_id the smallest that a chain of near-duplicates
     reaches, links the number of other classes that the record's class is near to.
     """
-    records = word_hashes(df, record, text)
-    members = materialize(classes(records), "members")
-    pairs = materialize(class_pairs(records, members, threshold), "pairs")
+    members, reps = classes(word_hashes(df, record, text))
+    pairs = materialize(class_pairs(reps, threshold), "pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     groups = components(pairs).select(F.col("node").alias("rep"), "component")
     out = members.join(links, "rep", "left").join(groups, "rep", "left")
