@@ -3,13 +3,14 @@
 Within the last part of each piece's size window every natural boundary (end of a paragraph, line or sentence) is scored by how unlike the
 words before and after it are: the cosine of two sliding blocks falls into a valley where the topic changes. The deepest
 valley is the cut, whatever the boundary's kind; of equally deep ones the end of a paragraph, then of a line, then of a sentence, then the last. Where the last
-part has no natural boundary, the search goes back to the start of the piece. The next piece begins about the overlap before, at the start of a word.
+part has no natural boundary, the search goes back by parts almost to the start of the piece. The next piece begins about the overlap before, at the start of a word.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.llm.tokens import encoding, vocabulary_of
+from relweave.llm.tokens import count_tokens, encoding, vocabulary_of
 
-#: Words of a block, hash buckets of its words, and the share of the limit from which a cut may be made.
+#: Words of a block, hash buckets of its words, and the share of the limit from which a cut is looked for first.
 BLOCK, BUCKETS, FROM = 80, 128, 0.7
+#: Where the last part has no natural boundary, the parts from these shares on are searched, one after the other.
+BEFORE = (0.4, 0.1)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _PARAGRAPH = regex.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
 _LINE = regex.compile(r"[\r\n]+\s*")
@@ -32,37 +35,36 @@ KINDS = ["paragraph", "line", "sentence", "word", "none"]
 def _valleys(text: str, cuts: np.ndarray) -> np.ndarray:
     """Depth of the similarity valley at each cut (character offsets, ascending)."""
     found = [(m.start(), m.group()) for m in _WORD.finditer(text)]
-    at = [i for i, w in found if len(w) > 3]
-    bucket = [hash_word(w) for _, w in found if len(w) > 3]
-    n = len(at)
+    n = len(found)
     if not n:
         return np.zeros(len(cuts))
-    sums = np.zeros((n + 1, BUCKETS), np.float32)
-    sums[np.arange(1, n + 1), np.asarray(bucket)] = 1
-    np.cumsum(sums, axis=0, out=sums)
-    g = np.searchsorted(np.asarray(at), cuts)
-    left, right = sums[g] - sums[np.maximum(g - BLOCK, 0)], sums[np.minimum(g + BLOCK, n)] - sums[g]
+    bucket = np.fromiter((hash_word(w) for _, w in found), np.int64, n)
+    g = np.searchsorted(np.fromiter((i for i, _ in found), np.int64, n), cuts)
+    # a block's counts by bucket: of the words from g - BLOCK on, and from g on
+    span = np.arange(BLOCK)
+    left, right = (np.zeros((len(cuts), BUCKETS + 1), np.float32) for _ in range(2))
+    for out, at in ((left, g[:, None] - 1 - span), (right, g[:, None] + span)):
+        inside = (at >= 0) & (at < n)
+        np.add.at(out, (np.arange(len(cuts))[:, None], np.where(inside, bucket[np.clip(at, 0, n - 1)], BUCKETS)), inside.astype(np.float32))
+    left, right = left[:, :BUCKETS], right[:, :BUCKETS]
     norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
     sim = np.divide((left * right).sum(1), norm, out=np.zeros(len(cuts)), where=norm > 0)
     # depth: how far the similarity climbs to the nearest peak on either side
-    depth = np.zeros(len(cuts))
-    for i in range(len(cuts)):
-        a = b = sim[i]
-        for j in range(i - 1, -1, -1):
-            if sim[j] < a:
-                break
-            a = sim[j]
-        for j in range(i + 1, len(cuts)):
-            if sim[j] < b:
-                break
-            b = sim[j]
-        depth[i] = a + b - 2 * sim[i]
-    return depth
-
-
+    sims, n = sim.tolist(), len(cuts)
+    before, after = list(sims), list(sims)
+    for i in range(1, n):
+        if sims[i - 1] >= sims[i]:
+            before[i] = before[i - 1]
+    for i in range(n - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            after[i] = after[i + 1]
+    return np.asarray(before) + np.asarray(after) - 2 * sim
+
+
+@lru_cache(maxsize=100_000)
 def hash_word(w: str) -> int:
-    """Bucket of a word, the same in every process."""
-    return zlib.crc32(w.lower()[:12].encode()) % BUCKETS
+    """Bucket of a word, the same in every process; short words, which any topic has, are in one that does not count."""
+    return zlib.crc32(w.lower()[:12].encode()) % BUCKETS if len(w) > 3 else BUCKETS
 
 
 def _natural(text: str, lo: int, hi: int) -> dict[int, int]:
@@ -75,9 +77,11 @@ def _natural(text: str, lo: int, hi: int) -> dict[int, int]:
     return out
 
 
-def _boundary(text: str, start: int, lo: int, hi: int) -> tuple[int, str]:
-    """The cut in (lo, hi], or else in (start, lo], and its kind: the natural boundary in the deepest valley, or the last space."""
-    for a, b in ((lo, hi), (start, lo)):
+def _boundary(text: str, bounds: list[int]) -> tuple[int, str]:
+    """The cut and its kind: the natural boundary in the deepest valley of the first part (from the end) that has one, else the last space of the
+    last part. bounds are the ends of the parts, ascending."""
+    lo, hi = bounds[-2:]
+    for a, b in zip(bounds[-2::-1], bounds[:0:-1]):
         if found := _natural(text, a, b):
             cuts, margin = sorted(found), 12 * BLOCK
             depth = _valleys(text[max(0, a - margin) : b + margin], np.asarray(cuts) - max(0, a - margin))
@@ -114,9 +118,10 @@ def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int,
                 out.append((start, len(text), n, "end"))
                 return out
         hi = int(offsets[min(i + limit, len(tokens) - 1)])
+        early = [int(offsets[min(i + int(limit * f), len(tokens) - 1)]) for f in reversed(BEFORE)]
         lo = int(offsets[min(i + int(limit * FROM), len(tokens) - 1)])
         while True:
-            end, kind = _boundary(text, start, max(lo, start), max(hi, start + 1))
+            end, kind = _boundary(text, [*(min(max(x, start), max(lo, start)) for x in early), max(lo, start), max(hi, start + 1)])
             n = len(enc.encode_ordinary(text[start:end]))
             if n <= limit:
                 break
@@ -167,22 +172,24 @@ def split_documents(df: DataFrame, record: str, text: str, limit: int = 4096, ov
     return long.mapInArrow(run, "doc_id bigint, piece int, start_char bigint, end_char bigint, n_tokens bigint, boundary string, text string")
 
 
-def faults(pieces: DataFrame, df: DataFrame, record: str, text: str, limit: int = 4096, overlap: int = 64) -> DataFrame:
+def faults(pieces: DataFrame, df: DataFrame, record: str, text: str, limit: int = 4096, overlap: int = 64, vocabulary: str | None = None) -> DataFrame:
     """One row that counts what is wrong with split_documents(): all zeros if nothing is.
 
     too_long: pieces over the limit; gaps: pieces that begin after the one before ends, or not after its start, and documents not covered to their
-    ends; wrong_text: pieces that are not what the document has there; overlapping: pieces that share with the next more than 16 characters a token
-    of the overlap; unnatural: cuts at a space or inside a word, though the piece has a paragraph's end.
+    ends; wrong_text: pieces that are not what the document has there; overlapping: pieces whose text in common with the next has more than
+    twice the overlap of tokens; unnatural: cuts at a space or inside a word, though the
+    second half of the piece has a paragraph's end.
     """
     w = Window.partitionBy("doc_id").orderBy("piece")
     own = df.select(F.col(record).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("__whole"))
     p = pieces.withColumn("__next", F.lead("start_char").over(w)).withColumn("__last", F.lead("start_char").over(w).isNull()).join(own, "doc_id")
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
     ended = F.when(F.col("__last"), F.col("end_char") != F.length("__whole")).otherwise((F.col("__next") > F.col("end_char")) | (F.col("__next") <= F.col("start_char")))
+    shared = p.where(~F.col("__last") & (F.col("end_char") > F.col("__next"))).select("doc_id", F.expr("substring(text, cast(__next - start_char + 1 as int))").alias("text"))
+    shared = count_tokens(shared, "doc_id", "text", vocabulary).agg(n(F.col("n_tokens") > 2 * overlap)("overlapping"))
     return p.agg(
         n(F.col("n_tokens") > limit)("too_long"),
         n(ended | ((F.col("piece") == 0) & (F.col("start_char") != 0)))("gaps"),
         n(F.expr("substring(__whole, cast(start_char + 1 as int), cast(end_char - start_char as int))") != F.col("text"))("wrong_text"),
-        n(~F.col("__last") & (F.col("end_char") - F.col("__next") > 16 * overlap))("overlapping"),
-        n(F.col("boundary").isin("word", "none") & F.col("text").rlike(r"[\p{L}.]\n[ \t]*\n\s*\p{L}"))("unnatural"),
-    )
+        n(F.col("boundary").isin("word", "none") & F.expr("substring(text, cast(length(text) / 2 as int))").rlike(r"[\p{L}.]\n[ \t]*\n\s*\p{L}"))("unnatural"),
+    ).crossJoin(shared)

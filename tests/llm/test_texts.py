@@ -145,6 +145,18 @@ def test_splitting(limit, overlap):
                 assert t[:e].rstrip() != t[:e] or t[e - 1] in ".!?"
 
 
+def test_few_pieces_and_deepest_valley():
+    enc = encoding()
+    # natural boundaries only at the beginning: cuts go on
+    assert len(splitting.split_text("One sentence. " * 300 + "x" * 40_000, 1000, 64, enc)) < 60
+    topic = lambda w: " ".join(f"{w}{k % 7} {w}word{k % 5}" + ("." if k % 6 == 5 else "") for k in range(400))
+    text = topic("alpha") + ". " + topic("bravo") + "."
+    change = len(topic("alpha")) + 2
+    tokens = len(enc.encode_ordinary(text[:change]))
+    pieces = splitting.split_text(text, tokens + 300, 0, enc)
+    assert pieces[0][1] == change and pieces[0][3] == "sentence"  # not the last sentence of the window, but where the topic changes
+
+
 def test_documents(spark):
     rows = list(enumerate(texts())) + [(100, None), (None, "word " * 9000)]
     got = splitting.split_documents(docs(spark, rows), "doc_id", "text").collect()
