@@ -9,17 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Similarities are rounded to so many digits, so that equal ones are equal however they are summed up.
+DIGITS = 12
+
 
 class Clusters:
-    """Clusters as they grow: for each its members' keys and vectors."""
+    """Clusters as they grow: the members' keys, and the vectors of all members in one matrix."""
 
     def __init__(self, threshold: float, first_id: int = 0):
-        self.threshold, self.next = threshold, first_id
+        self.threshold, self.next, self.size = threshold, first_id, 0
         self.ids: list[int] = []
         self.keys: list[set[str]] = []
-        self.vectors: list[list[np.ndarray]] = []
         self.where: dict[int, int] = {}
-        self._stack: dict[int, np.ndarray] = {}
+        self.x, self.of, self.count = np.empty((0, 0)), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def load(self, pattern_id: int, key: str, x: np.ndarray) -> None:
         """A member of an earlier pass."""
@@ -31,7 +33,7 @@ class Clusters:
         self.where[pattern_id] = len(self.ids)
         self.ids.append(pattern_id)
         self.keys.append(set())
-        self.vectors.append([])
+        self.count = np.append(self.count, 0)
         self.next = max(self.next, pattern_id + 1)
         return len(self.ids) - 1
 
@@ -39,16 +41,23 @@ class Clusters:
         if key in self.keys[c]:
             return False
         self.keys[c].add(key)
-        self.vectors[c].append(x)
-        self._stack.pop(c, None)
+        if self.size == len(self.of):  # room is doubled
+            room = max(64, 2 * self.size)
+            grown, of = np.empty((room, len(x))), np.empty(room, np.int64)
+            grown[: self.size], of[: self.size] = self.x[: self.size].reshape(self.size, len(x)), self.of[: self.size]
+            self.x, self.of = grown, of
+        self.x[self.size], self.of[self.size] = x, c
+        self.size += 1
+        self.count[c] += 1
         return True
 
-    def _score(self, c: int, x: np.ndarray) -> float:
-        if c not in self._stack:
-            self._stack[c] = np.array(self.vectors[c])
-        s = self._stack[c] @ x
-        good = int((s >= self.threshold).sum())
-        return max(float(s.max()), 0.0) if 2 * good >= len(s) else 0.0
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """For each cluster its highest similarity to x, at least 0, or 0 if fewer members than not are similar: one product for all members."""
+        s, of = np.round(self.x[: self.size] @ x, DIGITS), self.of[: self.size]
+        good = np.bincount(of[s >= self.threshold], minlength=len(self.ids))
+        top = np.zeros(len(self.ids))
+        np.maximum.at(top, of, s)
+        return np.where(2 * good >= self.count, top, 0.0)
 
     def add(self, key: str, x: np.ndarray) -> list[tuple[int, str]]:
         """Puts a tuple into the accepting cluster with the highest score, or a new one below the threshold. What was added."""
@@ -56,12 +65,9 @@ class Clusters:
         if not self.ids:  # the very first tuple opens a cluster and is then clustered like any other
             added.append((self.ids[c := self._open(self.next)], key))
             self._put(c, key, x)
-        best, top = 0, 0.0
-        for c in range(len(self.ids)):
-            s = self._score(c, x)
-            if s > top:
-                best, top = c, s
-        if top < self.threshold:
+        score = self.scores(x)
+        best = int(score.argmax())
+        if score[best] < self.threshold:
             best = self._open(self.next)
         if self._put(best, key, x):
             added.append((self.ids[best], key))

@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.functions.vectors import dot
+from relweave.operators.clustering import DIGITS
+from relweave.session import materialize
 
-#: Bytes of member vectors that are sent to the executors at once; more members are matched in blocks of whole patterns.
+#: Bytes of member vectors that are sent to the executors at once; more members are matched in blocks.
 SENT = 64 << 20
 
 
@@ -29,20 +30,6 @@ def seed_match_counts(tuples: DataFrame, seeds: DataFrame) -> DataFrame:
     return seed_matches(tuples, seeds).groupBy("ent1", "ent2").agg(F.count(F.lit(1)).alias("matches"))
 
 
-def votes(tuples: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
-    """(key, pattern_id, good, bad, accepted, score) for all tuples and patterns, as relational operators.
-
-    A pattern accepts a tuple if at least as many members are similar to it as not; the score is the highest similarity, at least 0,
-    and 0 if it does not accept. Members are the query set; this form is for reading and for checking match().
-    """
-    m = members.select("pattern_id", F.col("x").alias("__y"))
-    sims = tuples.select(key, "x").crossJoin(m).select(key, "pattern_id", dot(F.col("x"), F.col("__y")).alias("s"))
-    good = F.sum((F.col("s") >= threshold).cast("bigint"))
-    v = sims.groupBy(key, "pattern_id").agg(good.alias("good"), (F.count(F.lit(1)) - good).alias("bad"), F.greatest(F.max("s"), F.lit(0.0)).alias("top"))
-    ok = F.col("good") >= F.col("bad")
-    return v.select(key, "pattern_id", "good", "bad", ok.alias("accepted"), F.when(ok, F.col("top")).otherwise(0.0).alias("score"))
-
-
 def best_patterns(voted: DataFrame, key: str = "tuple_ord") -> DataFrame:
     """Of each tuple's accepting patterns that with the highest score above 0; the lowest pattern_id wins ties."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "pattern_id"))
@@ -60,7 +47,7 @@ class Members:
 
     def score(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(accepted, score) of each row of x (rows) and pattern (columns)."""
-        s = x @ self.x.T
+        s = np.round(x @ self.x.T, DIGITS)
         good = np.add.reduceat((s >= threshold).astype(np.int64), self.first, axis=1)
         top = np.maximum(np.maximum.reduceat(s, self.first, axis=1), 0.0)
         ok = 2 * good >= self.n
@@ -72,39 +59,123 @@ def _x(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("pattern_id").agg((F.count(F.lit(1)) * F.max(F.size("x")) * 8).alias("bytes"))
+
+
+def _blocks(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Members in blocks of whole patterns of about SENT bytes, and those of each pattern that is larger by itself, in parts of about SENT bytes."""
+    sizes = _sizes(members)
+    large = [(r.pattern_id, r.bytes) for r in sizes.where(F.col("bytes") > SENT).collect()]  # as many as fit their size at most
+    small = members.where(~F.col("pattern_id").isin([p for p, _ in large])) if large else members
+    total = sizes.where(F.col("bytes") <= SENT).agg(F.sum("bytes")).first()[0] or 0
+    n = max(1, -(-2 * total // SENT)) if total > SENT else 1 if total else 0
+    whole = [small.where(F.pmod(F.xxhash64("pattern_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [small] * n
+    parts = []
+    for pid, size in large:
+        k = -(-size // SENT)
+        parts += [members.where((F.col("pattern_id") == pid) & (F.pmod(F.xxhash64("x"), F.lit(k)) == i)) for i in range(k)]
+    return whole, parts
+
+
+def _sent(block: DataFrame):
+    """A block's members on all executors, about SENT bytes."""
+    rows = block.select("pattern_id", "x").toArrow()
+    return block.sparkSession.sparkContext.broadcast(Members(rows["pattern_id"].to_numpy(), _x(rows["x"].combine_chunks())))
+
+
+def _united(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    for p in parts:
+        empty = empty.unionByName(p)
+    return empty
+
+
+def _split_votes(rows: DataFrame, parts: list[DataFrame], threshold: float) -> DataFrame | None:
+    """(k, pattern_id, score) of accepting patterns that are too large for one block: the votes of their parts are added up."""
+    if not parts:
+        return None
+    out = []
+    for part in parts:
+        sent = _sent(part)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m = sent.value
+                if b.num_rows and len(m.ids):
+                    s = np.round(_x(b.column("x")) @ m.x.T, DIGITS)
+                    good, top = (s >= threshold).sum(1), s.max(1)
+                    yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.full(len(good), m.ids[0])), pa.array(good), pa.array(np.full(len(good), s.shape[1])), pa.array(top)], ["k", "pattern_id", "good", "n", "top"])
+
+        out.append(rows.select("k", "x").mapInArrow(run, "k bigint, pattern_id bigint, good bigint, n bigint, top double"))
+    votes = _united(out[1:], out[0]).groupBy("k", "pattern_id").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.max("top").alias("top"))
+    return votes.where(2 * F.col("good") >= F.col("n")).select("k", "pattern_id", F.greatest("top", F.lit(0.0)).alias("score"))
+
+
 def match(tuples: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
     """(key, pattern_id, score) of every accepting pattern, by matrix products over Arrow batches.
 
-    Members go to the executors if their vectors take at most SENT bytes; else patterns are cut into blocks below that
-    size, and the tuples are matched against one block after the other.
+    Members go to the executors if their vectors take at most SENT bytes; else patterns are cut into blocks of about that
+    size, and a pattern that is larger by itself into parts, whose votes are added up.
+    """
+    rows = tuples.select(F.col(key).cast("bigint").alias("k"), "x")
+    whole, parts = _blocks(members)
+    found = []
+    for block in whole:
+        sent = _sent(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows and len(sent.value.ids):
+                    ok, score = sent.value.score(_x(b.column("x")), threshold)
+                    i, j = np.nonzero(ok)
+                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(i)), pa.array(sent.value.ids[j]), pa.array(score[i, j])], ["k", "pattern_id", "score"])
+
+        found.append(rows.mapInArrow(run, "k bigint, pattern_id bigint, score double"))
+    split = _split_votes(rows, parts, threshold)
+    empty = rows.select("k", F.lit(0).cast("bigint").alias("pattern_id"), F.lit(0.0).alias("score")).limit(0)
+    return _united(found + ([split] if split is not None else []), empty).withColumnRenamed("k", key)
+
+
+def best_and_counts(classed: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> tuple[DataFrame, DataFrame]:
+    """Of tuples with x, pos, neg, unk: (key, pattern_id, score) of each tuple's best accepting pattern with a score above 0, and (pattern_id, positive, negative,
+    unknown) over the tuples that each pattern accepts.
+
+    Both are made where the tuples are: a task gives one row a tuple and one a pattern and batch, not one for each tuple and pattern. The
+    result is written once and read twice.
     """
-    per = members.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d"))
-    sizes = sorted((r.pattern_id, r.n * r.d * 8) for r in per.collect())  # one row a pattern
-    blocks, room = [[]], SENT
-    for pid, size in sizes:
-        if blocks[-1] and size > room:
-            blocks.append([])
-            room = SENT
-        blocks[-1].append(pid)
-        room -= size
-    out = None
-    for ids in blocks:
-        if not ids:
-            continue
-        block = members.where(F.col("pattern_id").between(ids[0], ids[-1])).select("pattern_id", "x").toArrow()
-        m = Members(block["pattern_id"].to_numpy(), _x(block["x"].combine_chunks()))
-        sent = tuples.sparkSession.sparkContext.broadcast(m)
+    flags = ["pos", "neg", "unk"]
+    rows = classed.select(F.col(key).cast("bigint").alias("k"), "x", *[F.col(f).cast("bigint").alias(f) for f in flags])
+    whole, parts = _blocks(members)
+    schema = "k bigint, pattern_id bigint, score double, pos bigint, neg bigint, unk bigint"
+    found = []
+    for block in whole:
+        sent = _sent(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
+                m = sent.value
+                if not b.num_rows or not len(m.ids):
                     continue
-                ok, score = sent.value.score(_x(b.column("x")), threshold)
-                i, j = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(i)), pa.array(sent.value.ids[j]), pa.array(score[i, j])], ["k", "pattern_id", "score"])
-
-        got = tuples.select(F.col(key).cast("bigint").alias("k"), "x").mapInArrow(run, "k bigint, pattern_id bigint, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = tuples.select(F.col(key).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("pattern_id"), F.lit(0.0).alias("score")).limit(0)
-    return out.withColumnRenamed("k", key)
+                ok, score = m.score(_x(b.column("x")), threshold)
+                best = score.argmax(1)  # the lowest pattern of equal scores
+                top = score[np.arange(len(best)), best]
+                some = np.flatnonzero(top > 0)
+                sums = np.stack([b.column(f).to_numpy() for f in flags]) @ ok.astype(np.int64)
+                any_ = np.flatnonzero(ok.any(0))
+                none = np.zeros(len(some), np.int64)
+                k = pa.concat_arrays([b.column("k").take(pa.array(some)), pa.nulls(len(any_), pa.int64())])
+                cols = [k, pa.array(np.concatenate([m.ids[best[some]], m.ids[any_]])), pa.array(np.concatenate([top[some], np.zeros(len(any_))]))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(np.concatenate([none, sums[i, any_]])) for i in range(3)], ["k", "pattern_id", "score", *flags])
+
+        found.append(rows.mapInArrow(run, schema))
+    split = _split_votes(rows, parts, threshold)
+    if split is not None:
+        split = split.join(rows.drop("x"), "k").select("k", "pattern_id", "score", *flags)
+        found += [split.where("score > 0").select("k", "pattern_id", "score", *[F.lit(0).cast("bigint").alias(f) for f in flags]), split.withColumn("k", F.lit(None).cast("bigint"))]
+    empty = rows.select("k", F.lit(0).cast("bigint").alias("pattern_id"), F.lit(0.0).alias("score"), *flags).limit(0)
+    both = materialize(_united(found, empty), "scored")
+    best = both.where("k is not null").select("k", "pattern_id", "score")
+    if len(found) > 1:
+        best = best.groupBy("k").agg(F.max_by(F.struct("pattern_id", "score"), F.struct("score", -F.col("pattern_id"))).alias("b")).select("k", "b.pattern_id", "b.score")
+    counts = both.where("k is null").groupBy("pattern_id").agg(F.sum("pos").alias("positive"), F.sum("neg").alias("negative"), F.sum("unk").alias("unknown"))
+    return best.withColumnRenamed("k", key), counts

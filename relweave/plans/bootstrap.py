@@ -69,14 +69,11 @@ def bootstrap(tuples: DataFrame, positive: DataFrame, negative: DataFrame, confi
         if not n_patterns and turn == 0:
             status = "no patterns"
             break
-        hits = materialize(matching.match(slim, members, c.similarity), "hits")
-        classed = scoring.selectivity_classes(slim, seeds, negative)
-        fresh = scoring.pattern_counts(hits, classed)
+        best, fresh = matching.best_and_counts(scoring.selectivity_classes(slim, seeds, negative), members, c.similarity)
         counts = fresh if counts is None else counts.unionByName(fresh)
         zero = members.select("pattern_id").distinct().select("pattern_id", *[F.lit(0).cast("bigint").alias(n) for n in ("positive", "negative", "unknown")])
         counts = materialize(counts.unionByName(zero).groupBy("pattern_id").agg(*[F.sum(n).alias(n) for n in ("positive", "negative", "unknown")]), "counts")
-        best = hits.where(F.col("score") > 0).groupBy("tuple_ord").agg(F.max_by(F.struct("pattern_id", "score"), F.struct("score", -F.col("pattern_id"))).alias("b"))
-        best = best.join(slim.select("tuple_ord", "tuple_key"), "tuple_ord").select("tuple_ord", "tuple_key", "b.pattern_id", "b.score")
+        best = best.join(slim.select("tuple_ord", "tuple_key"), "tuple_ord")
         more = scoring.new_evidence(best, evidence, c.similarity)
         evidence = materialize(more if evidence is None else evidence.unionByName(more), "evidence")
         sure = scoring.pattern_confidence(F.col("positive"), F.col("negative"), F.col("unknown"), c.negative_weight, c.unknown_weight)

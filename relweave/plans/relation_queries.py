@@ -19,6 +19,7 @@ from relweave.operators import clustering, extract, matching, scoring
 from relweave.operators import evaluation as E
 from relweave.operators import kb as K
 from relweave.plans import bootstrap as B
+from relweave.plans import bootstrap_sql as BS
 from relweave.plans.evaluate import evaluate
 from relweave.plans.tables import table
 from relweave.session import materialize
@@ -485,17 +486,24 @@ def ranked_output(spark: Spark, d: str) -> DataFrame:
     return ranked.withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+_SX = f"""{STORED.replace("f.aft_words from", "f.aft_words, f.sentence, f.passive_voice from")}, {SEEDS},
+sx as (select tuple_ord as ord, coalesce(ent1, '') || chr(1) || coalesce(ent2, '') || chr(1) || coalesce(bef_words, '') || chr(1) || coalesce(bet_words, '') || chr(1) || coalesce(aft_words, '') as key,
+  ent1, ent2, {BS.vectors(VECTORS, DIM)} as x, bef_words, bet_words, aft_words, sentence, passive_voice from st)"""
+
+
+@query(f"""with recursive {_SX}, m as (select row_number() over (order by ord) as n, ord, key, x from sx semi join pos using (ent1)), {BS.fold("fold", "m", 0.6)}, {BS.members("mem", "fold")}
+select pattern_id, ord as tuple_ord from mem semi join (select pattern_id from mem group by 1 having count(distinct key) >= 2) using (pattern_id)""")
 def single_pass_cluster(spark: Spark, d: str) -> DataFrame:
     matched = stored(spark, d).join(seeded_names(spark, d), "ent1", "left_semi")
     return clustering.supported(clustering.cluster_pass(matched, None, 0.6), 2).select("pattern_id", "tuple_ord")
 
 
-@query()
+@query(f"""with recursive {_SX}, seeds0 as (select ent1, ent2 from pos), {BS.passes(2, 0.6, 0.6, 2.0, 0.1, lambda c: f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')")}
+select ent1 as entity_1, ent2 as entity_2, round(confidence, 6) as confidence, sentence, bef_words, bet_words, aft_words, passive_voice from sure1 join sx on ord = first_ord""")
 def bootstrap_relations(spark: Spark, d: str) -> DataFrame:
     positive, negative = seed_pairs(spark, d)
     config = Config(alpha=0.2, beta=0.6, gamma=0.2, min_pattern_support=1, unknown_weight=0.1, iterations=1)
-    return B.bootstrap(stored(spark, d), positive, negative, config).relations
+    return B.bootstrap(stored(spark, d), positive, negative, config).relations.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"with {STORED}, {SEEDS}, {MEMBERS} select pattern_id, array_to_string(list_sort(list(distinct bet_words)), '|') as words from mem where bet_words is not null group by 1")

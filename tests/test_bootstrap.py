@@ -5,7 +5,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from relweave.config import Config, load_config, parse_config
+from relweave.functions.vectors import dot
 from relweave.operators import clustering, matching, scoring
 from relweave.plans.bootstrap import bootstrap
 
@@ -134,10 +138,24 @@ def test_clustering_order(spark):
     assert run([("z", z)]) == [["z"], ["z"]]
 
 
+def votes(tuples: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
+    """(key, pattern_id, good, bad, accepted, score) for all tuples and patterns, as relational operators.
+
+    A pattern accepts a tuple if at least as many members are similar to it as not; the score is the highest similarity, at least 0,
+    and 0 if it does not accept. Members are the query set; this form is for reading and for checking match().
+    """
+    m = members.select("pattern_id", F.col("x").alias("__y"))
+    sims = tuples.select(key, "x").crossJoin(m).select(key, "pattern_id", dot(F.col("x"), F.col("__y")).alias("s"))
+    good = F.sum((F.col("s") >= threshold).cast("bigint"))
+    v = sims.groupBy(key, "pattern_id").agg(good.alias("good"), (F.count(F.lit(1)) - good).alias("bad"), F.greatest(F.max("s"), F.lit(0.0)).alias("top"))
+    ok = F.col("good") >= F.col("bad")
+    return v.select(key, "pattern_id", "good", "bad", ok.alias("accepted"), F.when(ok, F.col("top")).otherwise(0.0).alias("score"))
+
+
 def test_votes(spark):
     tuples = spark.createDataFrame([(1, [1.0, 0.0])], "tuple_ord bigint, x array<double>")
     members = spark.createDataFrame([(0, [0.7, 0.0]), (0, [0.5, 0.0]), (1, [0.9, 0.0]), (1, [0.5, 0.0]), (1, [0.4, 0.0])], "pattern_id bigint, x array<double>")
-    v = {r.pattern_id: (r.accepted, round(r.score, 6)) for r in matching.votes(tuples, members, 0.6).collect()}
+    v = {r.pattern_id: (r.accepted, round(r.score, 6)) for r in votes(tuples, members, 0.6).collect()}
     assert v == {0: (True, 0.7), 1: (False, 0.0)}
     assert [tuple(r) for r in matching.match(tuples, members, 0.6).collect()] == [(1, 0, 0.7)]
     assert matching.match(tuples, members.limit(0), 0.6).count() == 0
@@ -171,3 +189,27 @@ def test_config(tmp_path):
         with pytest.raises(ValueError):
             parse_config(bad)
     assert "similarity" in c.report()
+
+
+def test_best_and_counts_in_blocks_and_parts(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    xs = g.normal(size=(60, 8))
+    xs /= np.linalg.norm(xs, axis=1, keepdims=True)
+    rows = [(i, x.tolist(), int(i % 3 == 0), int(i % 3 == 1), int(i % 3 == 2)) for i, x in enumerate(xs)]
+    tuples = spark.createDataFrame(rows, "tuple_ord bigint, x array<double>, pos bigint, neg bigint, unk bigint")
+    size = [30, 5, 1, 8, 2]
+    members = spark.createDataFrame([(p, f"k{p}{k}", g.normal(size=8).tolist()) for p, n in enumerate(size) for k in range(n)], "pattern_id bigint, tuple_key string, x array<double>")
+    voted = votes(tuples, members, 0.1).where("accepted").collect()
+    best, counts = {}, {}
+    for r in sorted(voted, key=lambda r: (-r.score, r.pattern_id)):
+        if r.score > 0:
+            best.setdefault(r.tuple_ord, (r.pattern_id, round(r.score, 9)))
+        c = counts.setdefault(r.pattern_id, [0, 0, 0])
+        c[r.tuple_ord % 3] += 1
+    for sent in (matching.SENT, 600, 100):  # all at once, in blocks, and with the largest pattern in parts
+        monkeypatch.setattr(matching, "SENT", sent)
+        b, n = matching.best_and_counts(tuples, members, 0.1)
+        assert {r.tuple_ord: (r.pattern_id, round(r.score, 9)) for r in b.collect()} == best
+        assert {r.pattern_id: [r.positive, r.negative, r.unknown] for r in n.collect() if r.positive + r.negative + r.unknown} == counts
+        hits = {(r.tuple_ord, r.pattern_id, round(r.score, 9)) for r in matching.match(tuples, members, 0.1).collect()}
+        assert hits == {(r.tuple_ord, r.pattern_id, round(r.score, 9)) for r in voted}

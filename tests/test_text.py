@@ -104,3 +104,20 @@ def test_vectors(spark):
     rows = df.select(V.unit(F.col("a")).alias("u"), V.cosine(F.col("a"), F.col("b"), 2).alias("z"), V.weighted_unit({"a": 0.25, "b": 0.75, "c": 0.0}, 2).alias("w")).collect()
     assert [round(x, 6) for x in rows[0].u] == [0.6, 0.8] and rows[0].z == 0 and rows[1].z == 0
     assert [round(x, 6) for x in rows[0].w] == [0.3, 0.4, 0, 0, 0, 0] and [round(x, 4) for x in rows[1].w] == [0, 0, 0.6124, 0.6124, 0, 0]
+
+
+def test_native_tags_are_the_rule_tagger(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from relweave.functions import tagging
+
+    rng = random.Random(5)
+    words = [w for w in tagging._LEXICON] + "Firma firma Bought buying quickly fastest 12 1,000 3-4 -- , . ? `` '' ( ) ; Ürün ßx dress cars was To plan plans nation al ed zed".split()
+    rows = [[rng.choice(words).capitalize() if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randint(0, 25))] for _ in range(300)] + [None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>")
+    got = {r.i: r.g for r in df.select("i", tagging.pos_tags(F.col("t")).alias("g")).collect()}
+    assert all(got[i] == (None if r is None else tagging.rule_tags(r)) for i, r in enumerate(rows))
+    own = {r.i: r.g for r in df.select("i", tagging.pos_tags(F.col("t"), lambda t: ["X"] * len(t)).alias("g")).collect()}
+    assert own[300] is None and all(own[i] == ["X"] * len(r) for i, r in enumerate(rows[:300]))
