@@ -203,13 +203,13 @@ def test_best_and_counts_in_blocks_and_parts(spark, monkeypatch):
     best, counts = {}, {}
     for r in sorted(voted, key=lambda r: (-r.score, r.pattern_id)):
         if r.score > 0:
-            best.setdefault(r.tuple_ord, (r.pattern_id, round(r.score, 9)))
+            best.setdefault(r.tuple_ord, (r.pattern_id, round(r.score, 6)))
         c = counts.setdefault(r.pattern_id, [0, 0, 0])
         c[r.tuple_ord % 3] += 1
     for sent in (matching.SENT, 600, 100):  # all at once, in blocks, and with the largest pattern in parts
         monkeypatch.setattr(matching, "SENT", sent)
         b, n = matching.best_and_counts(tuples, members, 0.1)
-        assert {r.tuple_ord: (r.pattern_id, round(r.score, 9)) for r in b.collect()} == best
+        assert {r.tuple_ord: (r.pattern_id, round(r.score, 6)) for r in b.collect()} == best
         assert {r.pattern_id: [r.positive, r.negative, r.unknown] for r in n.collect() if r.positive + r.negative + r.unknown} == counts
-        hits = {(r.tuple_ord, r.pattern_id, round(r.score, 9)) for r in matching.match(tuples, members, 0.1).collect()}
-        assert hits == {(r.tuple_ord, r.pattern_id, round(r.score, 9)) for r in voted}
+        hits = {(r.tuple_ord, r.pattern_id, round(r.score, 6)) for r in matching.match(tuples, members, 0.1).collect()}
+        assert hits == {(r.tuple_ord, r.pattern_id, round(r.score, 6)) for r in voted}
