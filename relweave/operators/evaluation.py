@@ -61,17 +61,23 @@ def term_positions(sentences: DataFrame, text: str = "sentence", key: str = "sen
     return sentences.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("position", "term"))
 
 
+def entity_positions(sentences: DataFrame, text: str = "sentence", key: str = "sent_id") -> DataFrame:
+    """term_positions of the tagged entities only: the same positions, but no row for any other word."""
+    pattern = r"(?U)(\w+(?:-\w+)+|<[A-Z]+>[^<]+</[A-Z]+>|\w+)"
+    every = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda t, i: F.struct(i.alias("position"), t.alias("term")))
+    return sentences.where(F.col(text).contains("<")).select(key, F.inline(F.filter(every, lambda x: x["term"].startswith("<"))))
+
+
 def entity_term(kind: Column | str, name: Column) -> Column:
     """The term that an entity of that type is in term_positions."""
     k = F.lit(kind) if isinstance(kind, str) else kind
     return F.concat(F.lit("<"), k, F.lit(">"), name, F.lit("</"), k, F.lit(">"))
 
 
-def proximity_hits(positions: DataFrame, pairs: DataFrame, e1_type: str, e2_type: str, slop: int = 6, limit: int | None = 500, key: str = "sent_id") -> DataFrame:
+def proximity_hits(positions: DataFrame, pairs: DataFrame, e1_type: str, e2_type: str, slop: int = 6, limit: int | None = None, key: str = "sent_id") -> DataFrame:
     """(ent1, ent2, key): sentences in which the second entity's term follows the first's within slop terms.
 
-    limit keeps that many sentences a pair, those with the smallest keys, as the search that this stands for returns a top list;
-    None keeps all. Positions are narrowed to the entities' terms before they are joined by sentence.
+    All are kept, unless a limit is given: then that many sentences a pair, those with the smallest keys, as a search that returns a top list. Positions are narrowed to the entities' terms before they are joined by sentence.
     """
     p = pairs.select(*PAIR).distinct()
     firsts = p.select("ent1", entity_term(e1_type, F.col("ent1")).alias("term")).distinct()
@@ -84,11 +90,6 @@ def proximity_hits(positions: DataFrame, pairs: DataFrame, e1_type: str, e2_type
     return near.withColumn("__r", F.row_number().over(Window.partitionBy(*PAIR).orderBy(key))).where(F.col("__r") <= limit).drop("__r")
 
 
-def relational_by_fact(fact_between: Column, before: Column, between: Column, after: Column, unigrams: list[str], pairs: list[str]) -> Column:
-    """Whether a hit tells the fact's relation: the same tokens between, or a keyword."""
-    return (fact_between == between) | has_keyword(before, between, after, unigrams, pairs)
-
-
 def relational_by_words(between: Column, unigrams: list[str], pairs: list[str]) -> Column:
     """Whether a hit tells the relation by its words: a keyword among the tokens between, which must not all be invalid."""
     return ~says_nothing(between) & (F.arrays_overlap(between, _list(unigrams)) | F.arrays_overlap(bigrams(between), _list(pairs)))

@@ -25,14 +25,14 @@ class Evaluation:
     metrics: DataFrame
 
 
-def evaluate(facts: DataFrame, kb: DataFrame, corpus: DataFrame, sentences: DataFrame, relation: str, slop: int = 6, ratio: float = 0.7, limit: int | None = 500) -> Evaluation:
+def evaluate(facts: DataFrame, kb: DataFrame, corpus: DataFrame, sentences: DataFrame, relation: str, slop: int = 6, ratio: float = 0.7, limit: int | None = None) -> Evaluation:
     """facts (ent1, ent2, sentence, bet_words), kb (e1, e2) in the facts' direction, corpus relations (sent_id, ent1, ent2, e1_type, e2_type, sentence, before,
     between, after as tokens), and indexed sentences (sent_id, sentence)."""
     t = K.relation_type(relation)
     org = t.e1_type == "ORG"
     typed = materialize(corpus.where((F.col("e1_type") == t.e1_type) & (F.col("e2_type") == t.e2_type)), "corpus")
     s = materialize(facts.select("ent1", "ent2", "sentence", "bet_words").distinct(), "facts")
-    positions = materialize(E.term_positions(sentences), "positions")
+    positions = materialize(E.entity_positions(sentences), "positions")
 
     known = materialize(K.known_pairs(s, kb, org), "known")
     b = s.join(known, E.PAIR, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from relweave.plans import bootstrap as B
 from relweave.plans import bootstrap_sql as BS
 from relweave.plans.evaluate import evaluate
 from relweave.plans.tables import table
-from relweave.session import materialize
+from relweave.session import materialize, scratch_dir
 from relweave.sources import corpus as C
 from relweave.sources import facts as S
 from relweave.streaming import extract as streaming
@@ -76,8 +77,11 @@ def sentences(spark: Spark, d: str) -> DataFrame:
 
 
 def records(spark: Spark, d: str) -> DataFrame:
-    """Relations, those delivered again once."""
-    return table(spark, d, "relationships").dropDuplicates(["rel_id"])
+    """Relations; of those delivered again the copy that came first."""
+    rows = table(spark, d, "relationships")
+    late = F.to_timestamp(F.lit("9999-12-31"))
+    first = F.min_by(F.struct(*[c for c in rows.columns if c != "rel_id"]), F.coalesce(F.col("ingested_at").cast("timestamp"), late))
+    return rows.groupBy("rel_id").agg(first.alias("__r")).select("rel_id", "__r.*")
 
 
 def extracted(spark: Spark, d: str) -> DataFrame:
@@ -597,15 +601,16 @@ def kb_anti(spark: Spark, d: str) -> DataFrame:
     return K.unknown_pairs(pairs, K.known_pairs(pairs, table(spark, d, "kb")))
 
 
-_ASCII = "regexp_replace(upper({0}), '[^\\x00-\\x7f]', '?', 'g')"
-
-
-@query(f"with {FACTS} select rel_id, round({_jac('ent1', 'ent2')}, 6) as jaccard, round(jaro_winkler_similarity({_ASCII.format('ent1')}, {_ASCII.format('ent2')}), 6) as winkler from facts")
+# the other engine's Jaro-Winkler compares bytes, so letters beyond ASCII are told apart there by a code of one byte each
+@query(f"""with {FACTS},
+named as (select rel_id, ent1, ent2, upper(ent1) as a, upper(ent2) as b from facts),
+own as (select rel_id, list_sort(list_distinct(list_filter(string_split(a || b, ''), lambda c: ascii(c) > 127))) as o, list_filter(range(1, 127), lambda k: k <> 34 and not contains(a || b, chr(k::int))) as free, * exclude (rel_id) from named),
+coded as (select rel_id, ent1, ent2, array_to_string(list_transform(string_split(a, ''), lambda c: case when ascii(c) > 127 then chr(free[list_position(o, c)]::int) else c end), '') as a,
+  array_to_string(list_transform(string_split(b, ''), lambda c: case when ascii(c) > 127 then chr(free[list_position(o, c)]::int) else c end), '') as b from own)
+select rel_id, round({_jac('ent1', 'ent2')}, 6) as jaccard, round(jaro_winkler_similarity(a, b), 6) as winkler from coded""")
 def name_similarity(spark: Spark, d: str) -> DataFrame:
-    # the other engine compares bytes, so letters beyond ASCII are replaced on both sides
-    plain = lambda c: F.regexp_replace(F.upper(c), "[^\\x00-\\x7f]", "?")
     rows = extracted(spark, d)
-    return rows.select("rel_id", F.round(token_jaccard(F.col("ent1"), F.col("ent2")), 6).alias("jaccard"), F.round(jaro_winkler_similarity(plain("ent1"), plain("ent2")), 6).alias("winkler"))
+    return rows.select("rel_id", F.round(token_jaccard(F.col("ent1"), F.col("ent2")), 6).alias("jaccard"), F.round(jaro_winkler_similarity(F.upper("ent1"), F.upper("ent2")), 6).alias("winkler"))
 
 
 @query("select trim(acronym) as acronym, array_to_string(list_sort(list(distinct trim(expansion))), '; ') as expansions from acronyms where acronym is not null and expansion is not null and not contains(acronym, '/') and not contains(expansion, '/') group by 1")
@@ -667,11 +672,11 @@ def term_positions(spark: Spark, d: str) -> DataFrame:
 
 HITS = f"""{TERMS}, {FACTS}, p as (select distinct ent1, ent2 from facts),
 near0 as (select distinct ent1, ent2, x.sent_id from p join terms x on x.term = '<ORG>' || ent1 || '</ORG>' join terms y on y.term = '<LOC>' || ent2 || '</LOC>' and x.sent_id = y.sent_id and y.position - x.position between 1 and 6),
-near_ as (select ent1, ent2, sent_id from (select *, row_number() over (partition by ent1, ent2 order by sent_id) as r from near0) where r <= 500)"""
+near_ as (select ent1, ent2, sent_id from near0)"""
 
 
-def _hits(spark: Spark, d: str) -> DataFrame:
-    return E.proximity_hits(E.term_positions(sentences(spark, d)), extracted(spark, d), "ORG", "LOC")
+def _hits(spark: Spark, d: str, limit: int | None = None) -> DataFrame:
+    return E.proximity_hits(E.entity_positions(sentences(spark, d)), extracted(spark, d), "ORG", "LOC", limit=limit)
 
 
 @query(f"with {HITS} select * from near_")
@@ -679,6 +684,23 @@ def proximity_hits(spark: Spark, d: str) -> DataFrame:
     return _hits(spark, d)
 
 
+@query(f"with {HITS} select ent1, ent2, sent_id from (select *, row_number() over (partition by ent1, ent2 order by sent_id) as r from near_) where r <= 2")
+def proximity_top(spark: Spark, d: str) -> DataFrame:
+    # here the limit is the feature: the first sentences of each pair
+    return _hits(spark, d, 2)
+
+
+ELIGIBLE = f"n as (select sent_id from (select sent_id, list_contains(between_, '.') or not ({_SAYS}) as bad from facts) group by 1 having count(*) filter (not bad) > count(*) filter (bad))"
+
+
+@query(f"with {HITS}, {ELIGIBLE} select near_.* from near_ semi join n using (sent_id)")
+def index_search(spark: Spark, d: str) -> DataFrame:
+    # an index of the sentences that are worth it, written once and then searched
+    path = f"{scratch_dir(spark)}/relweave-index-{uuid.uuid4().hex}"
+    S.write_index(sentences(spark, d), extracted(spark, d).select("sent_id", "between"), path)
+    return E.proximity_hits(S.read_index(spark, path), extracted(spark, d), "ORG", "LOC")
+
+
 @query(f"""with {HITS}, j as (select f.ent1, f.ent2, ({_SAYS}) and (list_has_any(between_, {_array(_HQ.unigrams)}) or list_has_any({_BIG}, {_array(_HQ.bigrams)})) as relational from facts f semi join near_ n on n.ent1 = f.ent1 and n.ent2 = f.ent2 and n.sent_id = f.sent_id),
 c as (select ent1, ent2, count(*) filter (relational) as with_words, count(*) filter (not relational) as without_words from j group by all)
 select *, with_words > 0 and without_words > 0 and with_words / without_words >= 0.7 as accepted from c""")
@@ -700,7 +722,7 @@ _SETS = f"""{_KB_SETS}, {TERMS},
 s as (select distinct ent1, ent2, sentence, bet_words from facts where e1_type = 'ORG' and e2_type = 'LOC' and confidence >= 0.6 and not isnan(confidence)),
 typed as (select * from facts where e1_type = 'ORG' and e2_type = 'LOC'),
 near0 as (select distinct ent1, ent2, x.sent_id from pairs join terms x on x.term = '<ORG>' || ent1 || '</ORG>' join terms y on y.term = '<LOC>' || ent2 || '</LOC>' and x.sent_id = y.sent_id and y.position - x.position between 1 and 6),
-near_ as (select ent1, ent2, sent_id from (select *, row_number() over (partition by ent1, ent2 order by sent_id) as r from near0) where r <= 500),
+near_ as (select ent1, ent2, sent_id from near0),
 b as (select * from s semi join known using (ent1, ent2)), rest as (select * from s anti join known using (ent1, ent2)),
 hit as (select t.* from typed t semi join near_ n on n.ent1 = t.ent1 and n.ent2 = t.ent2 and n.sent_id = t.sent_id),
 ja as (select h.ent1, h.ent2, {_KEYWORD} or exists (select 1 from rest r where r.ent1 = h.ent1 and r.ent2 = h.ent2 and {tokens_sql("r.bet_words")} = h.between_) as relational from hit h where exists (select 1 from rest r where r.ent1 = h.ent1 and r.ent2 = h.ent2)),
@@ -745,25 +767,36 @@ def line_count(spark: Spark, d: str) -> DataFrame:
 
 # ---- file formats, read back from lines made of the tables
 
-@query(f"with {FACTS} select rel_id, ent1, ent2, round(confidence, 6) as score, bet_words from (select rel_id, trim(ent1) as ent1, trim(ent2) as ent2, confidence, regexp_replace(coalesce(bet_words, ''), '^{SPACE}+|{SPACE}+$', '', 'g') as bet_words from facts where not regexp_matches(ent1 || ent2, '[^\\x20-\\x7e]|^ | $') and confidence between 0 and 1 and not isnan(confidence) and confidence >= 0.001) where ent1 <> ''")
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+@query(f"""with {FACTS} select rel_id, {_stripped("ent1")} as ent1, {_stripped("ent2")} as ent2, round(confidence, 6) as score, {_stripped("coalesce(bet_words, '')")} as bet_words from facts
+where confidence is not null and not isnan(confidence)""")
 def legacy_blocks(spark: Spark, d: str) -> DataFrame:
-    rows = extracted(spark, d).where(~F.concat("ent1", "ent2").rlike("[^\\x20-\\x7e]|^ | $") & F.col("confidence").between(0.001, 1) & ~F.isnan("confidence"))
+    # a block without a number for its score is none
     block = F.format_string("instance: %s\t%s\tscore:%s\nsentence: %s\npattern_bef: x\npattern_bet: %s\npattern_aft: y\npassive voice: %s\n", "ent1", "ent2", F.col("confidence").cast("string"), F.coalesce("sentence", F.lit("")), F.coalesce("bet_words", F.lit("")), F.when(F.col("passive_voice"), "True").otherwise("False"))
-    got = S.parse_blocks(rows.select("rel_id", block.alias("value")), keep=["rel_id"])
+    got = S.parse_blocks(extracted(spark, d).select("rel_id", block.alias("value")), keep=["rel_id"])
     return got.select("rel_id", "ent1", "ent2", F.round("score", 6).alias("score"), "bet_words")
 
 
-@query("select kb_id, e1, r, e2 from (select kb_id, trim(regexp_replace(e1, '\\(.*\\)', '', 'g')) as e1, r, trim(regexp_replace(e2, '\\(.*\\)', '', 'g')) as e2 from kb where e1 is not null and e2 is not null and r is not null and not regexp_matches(e1 || e2, '[^\\x20-\\x7e]|  |^ | $|_'))")
+def _bare(c: str) -> str:
+    """What is left of a name that was written as a local name: underscores are blanks, white space parts fields and is written as an underscore."""
+    named = f"replace(regexp_replace({_stripped(c)}, '{SPACE}', '_', 'g'), '_', ' ')"
+    return _stripped(f"regexp_replace({named}, '\\(.*\\)', '', 'g')")
+
+
+@query(f"select kb_id, {_bare('e1')} as e1, {_bare('r')} as r, {_bare('e2')} as e2 from kb where e1 is not null and e2 is not null and r is not null")
 def ntriples(spark: Spark, d: str) -> DataFrame:
-    kb = table(spark, d, "kb").where("e1 is not null and e2 is not null and r is not null").where(~F.concat("e1", "e2").rlike("[^\\x20-\\x7e]|  |^ | $|_"))
-    uri = lambda c: F.concat(F.lit("<http://dbpedia.org/resource/"), F.replace(F.trim(c), F.lit(" "), F.lit("_")), F.lit(">"))
-    line = F.concat_ws(" ", uri(F.col("e1")), F.concat(F.lit("<http://dbpedia.org/ontology/"), F.col("r"), F.lit(">")), uri(F.col("e2")), F.lit("."))
-    return S.parse_ntriples(kb.select("kb_id", line.alias("value")), keep=["kb_id"]).select("kb_id", "e1", F.replace("r", F.lit(" "), F.lit("_")).alias("r"), "e2")
+    uri = lambda c, kind: F.concat(F.lit(f"<http://dbpedia.org/{kind}/"), F.regexp_replace(T.strip(F.col(c)), T.SPACE, "_"), F.lit(">"))
+    line = F.concat_ws(" ", uri("e1", "resource"), uri("r", "ontology"), uri("e2", "resource"), F.lit("."))
+    kb = table(spark, d, "kb").where("e1 is not null and e2 is not null and r is not null")  # a fact lacking a part has no line
+    return S.parse_ntriples(kb.select("kb_id", line.alias("value")), keep=["kb_id"]).select("kb_id", "e1", "r", "e2")
 
 
 @query(f"select distinct {_squeezed('ent1')} as ent1, {_squeezed('ent2')} as ent2 from seeds where ent1 is not null and ent2 is not null")
 def seed_lines(spark: Spark, d: str) -> DataFrame:
-    lines = table(spark, d, "seeds").where("ent1 is not null and ent2 is not null").select(F.concat_ws(";", "ent1", "ent2").alias("value"))
+    lines = table(spark, d, "seeds").select(F.concat_ws(";", "ent1", "ent2").alias("value"))
     seeds, _ = C.parse_seeds(lines)
     return seeds.select(T.squeeze(F.col("ent1")).alias("ent1"), T.squeeze(F.col("ent2")).alias("ent2")).distinct()
 

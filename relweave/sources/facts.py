@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.functions.text import strip
+from relweave.operators import evaluation as E
 from relweave.operators import kb as K
 
 OUTPUT_SCHEMA = "entity_1 string, entity_2 string, confidence double, sentence string, bef_words string, bet_words string, aft_words string, passive_voice boolean"
@@ -120,11 +121,15 @@ def write_report(facts: DataFrame, path: str) -> None:
     facts.orderBy(F.col("score").desc(), "ent1", "ent2").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_index(positions: DataFrame, path: str, buckets: int = 64) -> None:
-    """Term positions, laid out by term: files of one range of terms lie together, so a search reads few row groups."""
-    positions.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+def write_index(sentences: DataFrame, relations: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Positions of the tagged entities of the eligible sentences (see operators.evaluation), laid out by term: files of one range of terms lie together,
+    so a search reads few row groups. sentences: sent_id, sentence; relations: sent_id, between. buckets: files, else as many as adaptive execution makes."""
+    held = sentences.join(E.eligible_sentences(relations).select("sent_id"), "sent_id", "left_semi")
+    positions = E.entity_positions(held)
+    laid = positions.repartitionByRange(buckets, "term") if buckets else positions.repartitionByRange("term")
+    laid.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Term positions as write_index left them; a filter on terms reaches the files."""
+    """Positions as write_index left them; a filter on terms reaches the files."""
     return spark.read.parquet(path)
