@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+from relweave.sources import files
+
 
 @dataclass(frozen=True)
 class Config:
@@ -72,5 +74,4 @@ def load_config(path: str | None, **given) -> Config:
     """parse_config of a file; defaults without one."""
     if path is None:
         return parse_config("", **given)
-    with open(path, encoding="utf-8") as f:
-        return parse_config(f.read(), **given)
+    return parse_config(files.read_bytes(path).decode("utf-8"), **given)

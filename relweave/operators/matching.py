@@ -179,3 +179,22 @@ def best_and_counts(classed: DataFrame, members: DataFrame, threshold: float, ke
         best = best.groupBy("k").agg(F.max_by(F.struct("pattern_id", "score"), F.struct("score", -F.col("pattern_id"))).alias("b")).select("k", "b.pattern_id", "b.score")
     counts = both.where("k is null").groupBy("pattern_id").agg(F.sum("pos").alias("positive"), F.sum("neg").alias("negative"), F.sum("unk").alias("unknown"))
     return best.withColumnRenamed("k", key), counts
+
+
+def best_of_stream(stream: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
+    """(key, pattern_id, score) of the best accepting pattern of each row with a score above 0, for streams. members must fit one block."""
+    whole, parts = _blocks(members)
+    if parts or len(whole) > 1:
+        raise ValueError("the patterns do not fit one block")
+    sent = _sent(whole[0]) if whole else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and sent is not None:
+                _, score = sent.value.score(_x(b.column("x")), threshold)
+                best = score.argmax(1)
+                top = score[np.arange(len(best)), best]
+                some = np.flatnonzero(top > 0)
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(some)), pa.array(sent.value.ids[best[some]]), pa.array(top[some])], ["k", "pattern_id", "score"])
+
+    return stream.select(F.col(key).cast("bigint").alias("k"), "x").mapInArrow(run, "k bigint, pattern_id bigint, score double").withColumnRenamed("k", key)

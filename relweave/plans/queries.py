@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relweave.plans import relation_queries
+from relweave.plans import file_queries, relation_queries  # noqa: F401  (file_queries registers its queries)
 from relweave.plans.tables import table
 from relweave.sources import lines
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions.text import strip
 from relweave.session import materialize
+from relweave.sources import files
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -60,43 +62,53 @@ def read_seeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_seeds(spark.read.text(path))
 
 
-def parse_word2vec(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
-    """(word, vector) of a binary word2vec file: a line "vocabulary dimensions", then word, blank, floats."""
-    end = data.index(b"\n")
-    n, dim = map(int, data[:end].split())
-    at = end + 1
+def parse_word2vec(source, block: int = 1 << 20) -> Iterator[tuple[str, np.ndarray]]:
+    """(word, vector) of a binary word2vec stream: a line "vocabulary dimensions", then word, blank, floats. A block is held at a time, not the file."""
+    held, at = source.read(block), 0
+    end = held.index(b"\n")
+    n, dim = map(int, held[:end].split())
+    at, need = end + 1, 4 * dim
     for _ in range(n):
-        while data[at : at + 1] == b"\n":
-            at += 1
-        blank = data.index(b" ", at)
-        yield data[at:blank].decode("utf-8", "replace"), np.frombuffer(data, "<f4", dim, blank + 1)
-        at = blank + 1 + 4 * dim
-
-
-def write_word2vec(path: str, vectors: dict[str, list[float]]) -> None:
-    """Writes the binary format, for fixtures and for other tools."""
-    dim = len(next(iter(vectors.values()), []))
-    with open(path, "wb") as f:
-        f.write(f"{len(vectors)} {dim}\n".encode())
-        for w, v in vectors.items():
-            f.write(w.encode() + b" " + struct.pack(f"<{dim}f", *v) + b"\n")
+        while True:
+            while held[at : at + 1] == b"\n":
+                at += 1
+            blank = held.find(b" ", at)
+            if blank >= 0 and len(held) >= blank + 1 + need:
+                break
+            more = source.read(max(block, need))
+            if not more:
+                raise ValueError("the file ends inside a vector")
+            held, at = held[at:] + more, 0
+        yield held[at:blank].decode("utf-8", "replace"), np.frombuffer(held, "<f4", dim, blank + 1)
+        at = blank + 1 + need
+
+
+def write_word2vec(path: str, vectors: dict[str, list[float]] | Iterable[tuple[str, list[float]]], size: int | None = None) -> None:
+    """Writes the binary format, for fixtures and for other tools; size is the number of vectors if they are no dictionary."""
+    rows = iter(vectors.items() if isinstance(vectors, dict) else vectors)
+    first = next(rows, None)
+    with files.created(path) as f:
+        f.write(f"{len(vectors) if size is None else size} {len(first[1]) if first else 0}\n".encode())
+        for w, v in chain([first] if first else [], rows):
+            f.write(w.encode() + b" " + struct.pack(f"<{len(v)}f", *v) + b"\n")
 
 
 def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vec) of binary word2vec files, one task a file; write it to Parquet once and read that afterwards."""
+    """(word, vec) of binary word2vec files, one task a file, which is streamed; write it to Parquet once and read that afterwards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for data in b["content"]:
-                rows: list[tuple[str, np.ndarray]] = []
-                for row in parse_word2vec(data):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["word", "vec"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["word", "vec"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "word string, vec array<float>")
+            for name in b["path"]:
+                with files.opened(name) as f:
+                    rows: list[tuple[str, np.ndarray]] = []
+                    for row in parse_word2vec(f):
+                        rows.append(row)
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=["word", "vec"])
+                            rows = []
+                    yield pd.DataFrame(rows, columns=["word", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "word string, vec array<float>")
 
 
 def write_tuples(df: DataFrame, path: str) -> None:
