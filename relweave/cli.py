@@ -5,11 +5,19 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
 from relweave.config import load_config
+from relweave.functions import perceptron
+from relweave.functions.tagging import rule_tags
+from relweave.operators.matching import matched_seeds
 from relweave.plans.bootstrap import bootstrap, prepare
-from relweave.session import get_spark, materialize
+from relweave.session import get_spark, materialize, release
 from relweave.sources import corpus, facts
 
+#: Lines of each report on the console.
+REPORTED = 100
+
 
 def arguments() -> argparse.ArgumentParser:
     """The options."""
@@ -24,6 +32,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--confidence", type=float, help="threshold of confidence to become a seed (0.6)")
     p.add_argument("--iterations", "--number_iterations", dest="iterations", type=int, help="further passes after the first (2)")
     p.add_argument("--output", default="relations", help="folder for the relations as JSON lines")
+    p.add_argument("--tagger", help="weights of a trained tagger (functions.perceptron); by rule otherwise")
     p.add_argument("--tuples", help="folder to keep the tuple store in")
     return p
 
@@ -49,15 +58,23 @@ def main(argv: list[str] | None = None) -> int:
         source = config.word2vec_path
         vectors = spark.read.parquet(source) if source.endswith(".parquet") else materialize(corpus.read_word2vec(spark, source), "embeddings")
         head = vectors.select("vec").first()
-        tuples = prepare(corpus.read_sentences(spark, a.sentences), vectors, len(head.vec) if head else 1, config)
+        tuples = prepare(corpus.read_sentences(spark, a.sentences), vectors, len(head.vec) if head else 1, config, perceptron.tagger(a.tagger) if a.tagger else rule_tags)
         if a.tuples:
             corpus.write_tuples(tuples, a.tuples)
             tuples = corpus.read_tuples(spark, a.tuples)
     result = bootstrap(tuples, positive, negative, config)
+    print("seed matches")
+    for r in matched_seeds(tuples, positive).limit(REPORTED).collect():
+        print(f"{r.ent1}\t{r.ent2}\t{r.matches}")
     for row in result.passes:
         print(", ".join(f"{k} {v}" for k, v in row.items()))
+    if result.patterns is not None:
+        print("patterns")
+        for r in result.patterns.orderBy(F.col("confidence").desc(), "pattern_id").limit(REPORTED).collect():
+            print(f"{r.pattern_id}\tpositive {r.positive}, negative {r.negative}, unknown {r.unknown}\t{r.confidence:.4f}")
     print(result.status)
     facts.write_relations(result.relations, a.output)
+    release(spark)
     return 0
 
 

@@ -30,6 +30,11 @@ def seed_match_counts(tuples: DataFrame, seeds: DataFrame) -> DataFrame:
     return seed_matches(tuples, seeds).groupBy("ent1", "ent2").agg(F.count(F.lit(1)).alias("matches"))
 
 
+def matched_seeds(tuples: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed_match_counts, most matches first; of equal ones by name."""
+    return seed_match_counts(tuples, seeds).orderBy(F.col("matches").desc(), "ent1", "ent2")
+
+
 def best_patterns(voted: DataFrame, key: str = "tuple_ord") -> DataFrame:
     """Of each tuple's accepting patterns that with the highest score above 0; the lowest pattern_id wins ties."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "pattern_id"))

@@ -248,8 +248,6 @@ def universal_tags(spark: Spark, d: str) -> DataFrame:
     return _tagged(spark, d).select("rel_id", F.array_join(F.transform("tagged", lambda t: relphrase.universal_tag(t["tag"])), " ").alias("tags"))
 
 
-# ---- the same with the default tagger, over whole sentences
-
 _CLASS = "case " + " ".join(f"when t in {_in(v)} then '{k}'" for k, v in relphrase.CLASS_TAGS.items()) + " else 'O' end"
 _UNIVERSAL = "case " + " ".join(f"when t in {_in([k for k, v in relphrase.UNIVERSAL.items() if v == u])} then '{u}'" for u in dict.fromkeys(relphrase.UNIVERSAL.values())) + " else 'X' end"
 _UCLASS = "case " + " ".join(f"when u = '{k}' then '{v}'" for k, v in relphrase.UNIVERSAL_CLASS.items()) + " else 'O' end"
@@ -263,11 +261,35 @@ _GROUPS = """list_reduce(list_prepend({st: 0, n: 0, p: []::int[], c: ''}, list_t
   p: list_append(a.p, case when (a.st = 0 and b.c = 'V') then a.n + 1 when (a.st = 1 and b.c in ('V', 'R', 'T', 'N', 'J', 'P', 'D', 'I')) or (a.st = 2 and b.c in ('N', 'J', 'R', 'P', 'D', 'I', 'T'))
     or (a.st = 3 and b.c in ('I', 'T')) then a.n else 0 end),
   c: b.c}).p"""
-_TEXT = f"{SENT}, tk as (select sent_id, {_TOKS} as toks from sent), tg as (select *, {rule_tags_sql('toks')} as tags from tk)"
 _PASSIVE = f"""coalesce(pw[len(pw)] = 'by' and ((len(pw) >= 3 and substr(pg[1], 1, 1) = 'V' and (pg[len(pw) - 1] in ('VBN', 'VBD') or (pw[1] in {_in(relphrase.BE)} and pg[2] in ('VBN', 'VBD'))))
   or (len(pw) = 2 and pg[1] in ('VBN', 'VBD'))), false)"""
 
 
+# ---- the same over every tag: a word's tag is picked by its letters, so that all tags and all steps between them occur
+
+_TAGS = sorted(relphrase.UNIVERSAL) + ["?"]
+_PICKED = f"({_array(_TAGS)})[((length(x) * 31 + ascii(x) * 7 + ascii(substr(x, length(x), 1))) % {len(_TAGS)}) + 1]"
+
+
+@query(f"""with {FACTS}, tg as (select rel_id, between_, list_transform(between_, lambda x: {_PICKED}) as g from facts),
+cls as (select *, list_transform(g, lambda t: {_CLASS}) as cl from tg), gr as (select *, {_GROUPS} as grp from cls),
+ph as (select *, list_filter(between_, lambda x, i: grp[i] > 0) as pw, list_filter(g, lambda x, i: grp[i] > 0) as pg from gr),
+ch as (select *, case when len(pw) > 0 then pw else between_ end as cw, case when len(pw) > 0 then pg else g end as cg from ph)
+select rel_id, array_to_string(pw, ' ') as phrase, array_to_string(list_transform(g, lambda t: {_UNIVERSAL}), ' ') as tags, {_PASSIVE} as passive,
+  array_to_string(list_filter(cw, lambda x, i: lower(x) not in {_in(STOPWORDS)} and cg[i] not in {_in(FILTER_TAGS)}), ' ') as content from ch""")
+def every_tag(spark: Spark, d: str) -> DataFrame:
+    code = lambda w: F.get(F.array(*[F.lit(t) for t in _TAGS]), (F.length(w) * 31 + F.ascii(w) * 7 + F.ascii(F.substring(w, -1, 1))) % len(_TAGS))
+    rows = extracted(spark, d).select("rel_id", F.transform("between", lambda w: F.struct(w.alias("tok"), code(w).alias("tag"))).alias("t"))
+    rows = rows.withColumn("p", relphrase.relational_phrase(F.col("t")))
+    return rows.select(
+        "rel_id", extract.joined(F.col("p")).alias("phrase"), F.array_join(F.transform("t", lambda x: relphrase.universal_tag(x["tag"])), " ").alias("tags"),
+        relphrase.passive_voice(F.col("p")).alias("passive"), F.array_join(relphrase.content_words(F.col("t")), " ").alias("content"),
+    )
+
+
+# ---- the same with the default tagger, over whole sentences
+
+_TEXT = f"{SENT}, tk as (select sent_id, {_TOKS} as toks from sent), tg as (select *, {rule_tags_sql('toks')} as tags from tk)"
 @query(f"with {_TEXT} select sent_id, array_to_string(tags, ' ') as tags from tg")
 def sentence_tags(spark: Spark, d: str) -> DataFrame:
     plain = sentences(spark, d).select("sent_id", tokens(extract.untagged(F.col("sentence"))).alias("toks"))

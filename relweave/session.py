@@ -39,12 +39,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What materialize() wrote in this process and nobody released.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df once to the shared folder and reads it back.
 
     This cuts the lineage like checkpoint(), but computes df only once, keeps it columnar, and survives the loss of
-    any executor.
+    any executor. The table stays until release(), as a result that is not read yet may need it.
     """
     path = f"{scratch_dir(df.sparkSession)}/relweave-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all that materialize() wrote in this process, and says how many tables. Results that were not read or written by then are lost."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
