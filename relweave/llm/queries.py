@@ -37,6 +37,11 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("id").alias("tuple_id"), "cluster_id", "size", F.round("flow", 6).alias("flow"), F.array_join("typical", ",").alias("typical"))
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    c = clusters.cluster(table(spark, d, "tuples"), "tuple_id", VECTORS)
+    return c.select(F.col("id").alias("tuple_id"), "cluster_id", "size", "isolated")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_pairs(table(spark, d, "relationships"), ENTITIES, table(spark, d, "acronyms"))
 
@@ -162,6 +167,14 @@ near as (
   select a, b from shared join bag x on x.sent_id = a join bag y on y.sent_id = b where n >= 0.7 * (len(x.w) + len(y.w) - n)
   union all select x.sent_id, y.sent_id from bag x join bag y on len(x.w) = 0 and len(y.w) = 0 and x.sent_id < y.sent_id)
 """
+_GROUPED = "with recursive" + _SENTENCES.split("with", 1)[1] + """,
+cls as (select sent_id, min(sent_id) over (partition by list_sort(w)) as class_id from bag),
+pair as (select distinct x.class_id as a, y.class_id as b from near join cls x on x.sent_id = near.a join cls y on y.sent_id = near.b where x.class_id <> y.class_id),
+linked as (select a, b from pair union select b, a from pair),
+reach(a, b) as (select a, b from linked union select r.a, l.b from reach r join linked l on l.a = r.b),
+least_ as (select a, min(b) as m from reach group by a), degree as (select a, count(*) as n from linked group by a)
+select sent_id, class_id, least(class_id, coalesce(m, class_id)) as group_id, coalesce(n, 0) as links from cls left join least_ on least_.a = class_id left join degree on degree.a = class_id
+"""
 _VALID = {
     "entity_1": _holds("entity_1"),
     "entity_2": _holds("entity_2"),
@@ -225,12 +238,19 @@ near as (select a, list_sort(list(b)) as members from both_ group by a),
 whole as (select members from near group by members having count(*) = len(members) and count(*) >= 3)
 select a as tuple_id, members[1] as cluster_id from near semi join whole using (members)
 """
+# where no part of the similarity graph falls apart, a cluster is a connected part
+_PARTS = _TIGHT.split("near as", 1)[0].replace("with edges", "with recursive edges", 1) + """reach(a, b) as (select a, b from both_ union select r.a, l.b from reach r join both_ l on l.a = r.b),
+part as (select a as tuple_id, min(b) as cluster_id, count(*) as size from reach group by a)
+select tuple_id, cluster_id, size, true as isolated from part
+"""
 
 ORACLE = {
     "p1_found": _TERMS + "select term, mark from marked where mark <> 'useful'",
     "p1_terms": _TERMS + "select * from marked",
     "p3_found": _TIGHT,
+    "p3_groups": _PARTS,
     "p5_found": _SENTENCES + "select a as sent_id_a, b as sent_id_b from near",
+    "p5_groups": _GROUPED,
     "p6_found": _RANKED + "select s.sent_id, s.pos, b0.rel_id as entity_1_rel_id, b1.rel_id as entity_2_rel_id, b2.rel_id as confidence_rel_id " + _JOINED,
     "p6_records": _RANKED + "select s.sent_id, s.pos, b0.entity_1, b1.entity_2, b2.confidence " + _JOINED,
     "p7_found": _PAIRS + "select name_a, name_b from scored where together >= 3 and together * total >= 8 * n_a * n_b",
@@ -244,7 +264,7 @@ ORACLE = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_terms, p3_found, p3_clusters, p4_found, p4_names, p5_found, p5_groups, p6_found, p6_records, p7_found, p7_pairs,
+        p1_found, p1_terms, p3_found, p3_clusters, p3_groups, p4_found, p4_names, p5_found, p5_groups, p6_found, p6_records, p7_found, p7_pairs,
         p8_containers, p8_unused, p8_faults, p9_found, p9_near, p10_found, p10_pieces, p10_faults,
     )
 }

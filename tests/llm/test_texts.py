@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from relweave.llm import leakage, packing, splitting
 from relweave.llm.tokens import encoding
@@ -75,6 +76,8 @@ def test_edited_passages_are_near(spark):
     got = {(r.doc_id, r.item_id): r.places for r in leakage.near_passages(df, "doc_id", "text", it, "item_id", "text").collect()}
     assert len(want & set(got)) >= 55 and len(set(got) - want) <= 3
     assert got[0, 0] == max(1, (len(items[0]) + 12) // 24)  # a repeated row counts once
+    for d, i in ((df.limit(0), it), (df, it.limit(0)), (df, it.where("item_id = 0").withColumn("text", F.lit("..."))), (df.withColumn("text", F.lit(None).cast("string")), it)):
+        assert leakage.near_passages(d, "doc_id", "text", i, "item_id", "text").count() == 0
 
 
 def check_packing(rows, counts, capacity):
