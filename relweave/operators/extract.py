@@ -12,6 +12,7 @@ from relweave.functions.tagging import Tagger, pos_tags, rule_tags
 from relweave.functions.text import let
 from relweave.functions.tokenize import entity_parts, tokens
 
+# How entities are tagged.
 ENTITY = "<([A-Z]+)>([^<]+)</[A-Z]+>"
 ENTITY_TAG = "</?[A-Z]+>"
 
@@ -36,7 +37,8 @@ def find_locations(parts: Column, toks: Column) -> Column:
     """Every 1-based start at which the parts stand in the tokens, tagged there or not. Both should be columns or variables."""
     n, k = F.size(toks), F.size(parts)
     starts = F.when((k > 0) & (n >= k), F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(toks, i, k) == parts)
+    # the first part alone rules out most starts, before anything is cut out of the array
+    return F.filter(starts, lambda i: (F.get(toks, i - 1) == F.get(parts, F.lit(0))) & (F.slice(toks, i, k) == parts))
 
 
 def locations(ents: Column, toks: Column) -> Column:

@@ -98,6 +98,10 @@ def directed(df: DataFrame, relation: str, e1: str = "e1", e2: str = "e2") -> Da
     return df.withColumns({e1: F.col(e2 if flip else e1), e2: F.col(e1 if flip else e2)})
 
 
+# Words between two names that say which is the parent.
+_PARENT, _SUBSIDIARY, _ALONE = "'s parent", "subsidiary of", "subsidiary"
+
+
 def swap_arguments(df: DataFrame, relation: str, ent1: str = "ent1", ent2: str = "ent2") -> DataFrame:
     """Entities changed over where the sentence says the relation the other way: in the passive voice (acquired, headquarters), or for
     acquired where the words between speak of a parent or a subsidiary. Both together still change them once."""
@@ -106,7 +110,7 @@ def swap_arguments(df: DataFrame, relation: str, ent1: str = "ent1", ent2: str =
     if relation in ("acquired", "headquarters"):
         turn = F.coalesce(F.col("passive_voice"), F.lit(False))
     if relation == "acquired":
-        turn = turn | bet.contains("'s parent") | bet.contains("subsidiary of") | (bet == "subsidiary")
+        turn = turn | bet.contains(_PARENT) | bet.contains(_SUBSIDIARY) | (bet == _ALONE)
     return df.withColumns({ent1: F.when(turn, F.col(ent2)).otherwise(F.col(ent1)), ent2: F.when(turn, F.col(ent1)).otherwise(F.col(ent2))})
 
 
