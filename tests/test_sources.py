@@ -58,3 +58,39 @@ def test_knowledge_bases(spark, tmp_path):
     df = spark.createDataFrame([("x", True), ("x", True), ("y", False)], "sentence string, selected boolean")
     S.write_sentences(df, str(tmp_path / "sel"), str(tmp_path / "dis"))
     assert spark.read.text(str(tmp_path / "sel")).count() == spark.read.text(str(tmp_path / "dis")).count() == 1
+
+
+def test_word2vec_in_small_blocks(tmp_path):
+    import io
+
+    import pytest
+
+    vectors = {"a": [1.0, 2.0, 3.0], "long" * 50: [0.5, -1.0, 0.0], "é": [7.0, 8.0, 9.0]}
+    C.write_word2vec(str(tmp_path / "x" / "v.bin"), vectors)
+    data = (tmp_path / "x" / "v.bin").read_bytes()
+    for block in (16, 64, 1 << 20):
+        assert {w: v.tolist() for w, v in C.parse_word2vec(io.BytesIO(data), block)} == vectors
+    with pytest.raises(ValueError):
+        list(C.parse_word2vec(io.BytesIO(data[:-5])))
+    C.write_word2vec(str(tmp_path / "none.bin"), {})
+    assert list(C.parse_word2vec(io.BytesIO((tmp_path / "none.bin").read_bytes()))) == []
+
+
+def test_release(spark, monkeypatch):
+    from relweave import session
+
+    monkeypatch.setattr(session, "_written", [])
+    session.materialize(spark.range(3), "a")
+    session.materialize(spark.range(4), "b")
+    paths = list(session._written)
+    assert session.release(spark) == 2 and session.release(spark) == 0
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not any(fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)) for p in paths)
+
+
+def test_index_holds_eligible_sentences(spark, tmp_path):
+    s = spark.createDataFrame([(1, "<ORG>A</ORG> in <LOC>B</LOC>"), (2, "<ORG>A</ORG> . <LOC>B</LOC>"), (3, None)], "sent_id bigint, sentence string")
+    rel = spark.createDataFrame([(1, ["bought"]), (2, ["."]), (3, ["bought"])], "sent_id bigint, between array<string>")
+    S.write_index(s, rel, str(tmp_path / "index"))
+    got = sorted((r.sent_id, r.position, r.term) for r in S.read_index(spark, str(tmp_path / "index")).collect())
+    assert got == [(1, 0, "<ORG>A</ORG>"), (1, 2, "<LOC>B</LOC>")]
