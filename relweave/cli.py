@@ -12,7 +12,7 @@ from relweave.functions import perceptron
 from relweave.functions.tagging import rule_tags
 from relweave.operators.matching import matched_seeds
 from relweave.plans.bootstrap import bootstrap, prepare
-from relweave.session import get_spark, materialize, release
+from relweave.session import get_spark, materialize, release, timed
 from relweave.sources import corpus, facts
 
 #: Lines of each report on the console.
@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.tuples:
             corpus.write_tuples(tuples, a.tuples)
             tuples = corpus.read_tuples(spark, a.tuples)
-    result = bootstrap(tuples, positive, negative, config)
+    result = timed(bootstrap)(tuples, positive, negative, config)
     print("seed matches")
     for r in matched_seeds(tuples, positive).limit(REPORTED).collect():
         print(f"{r.ent1}\t{r.ent2}\t{r.matches}")

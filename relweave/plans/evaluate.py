@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from relweave.functions.tokenize import tokens
 from relweave.operators import evaluation as E
 from relweave.operators import kb as K
-from relweave.session import materialize
+from relweave.session import cached, materialize
 
 
 @dataclass
@@ -25,14 +25,22 @@ class Evaluation:
     metrics: DataFrame
 
 
-def evaluate(facts: DataFrame, kb: DataFrame, corpus: DataFrame, sentences: DataFrame, relation: str, slop: int = 6, ratio: float = 0.7, limit: int | None = None) -> Evaluation:
+def evaluate(
+    facts: DataFrame, kb: DataFrame, corpus: DataFrame, sentences: DataFrame, relation: str, slop: int = 6, ratio: float = 0.7, limit: int | None = None, cache: str | None = None
+) -> Evaluation:
     """facts (ent1, ent2, sentence, bet_words), kb (e1, e2) in the facts' direction, corpus relations (sent_id, ent1, ent2, e1_type, e2_type, sentence, before,
-    between, after as tokens), and indexed sentences (sent_id, sentence)."""
+    between, after as tokens), and indexed sentences (sent_id, sentence).
+
+    cache is a folder for what depends on the corpus and the knowledge base alone: a later run with other facts takes it over from there. It is the
+    caller's to remove when one of the two changes.
+    """
+    spark = facts.sparkSession
+    lasting = lambda make, name: cached(spark, f"{cache}/{relation}-{name}", make) if cache else materialize(make(), name)
     t = K.relation_type(relation)
     org = t.e1_type == "ORG"
-    typed = materialize(corpus.where((F.col("e1_type") == t.e1_type) & (F.col("e2_type") == t.e2_type)), "corpus")
+    typed = lasting(lambda: corpus.where((F.col("e1_type") == t.e1_type) & (F.col("e2_type") == t.e2_type)), "corpus")
     s = materialize(facts.select("ent1", "ent2", "sentence", "bet_words").distinct(), "facts")
-    positions = materialize(E.entity_positions(sentences), "positions")
+    positions = lasting(lambda: E.entity_positions(sentences), "positions")
 
     known = materialize(K.known_pairs(s, kb, org), "known")
     b = s.join(known, E.PAIR, "left_semi")
@@ -55,10 +63,10 @@ def evaluate(facts: DataFrame, kb: DataFrame, corpus: DataFrame, sentences: Data
     wrong = rest.join(a.select(*E.PAIR).distinct(), E.PAIR, "left_anti")
 
     told = typed.where(E.plausible(F.col("between")))
-    worded = told.where(E.has_keyword(F.col("before"), F.col("between"), F.col("after"), t.unigrams, t.bigrams)).select(*E.PAIR, "sentence").distinct()
-    worded = materialize(worded, "told")
-    in_kb = materialize(K.known_pairs(worded, kb, org), "told_known")
+    worded = lasting(lambda: told.where(E.has_keyword(F.col("before"), F.col("between"), F.col("after"), t.unigrams, t.bigrams)).select(*E.PAIR, "sentence").distinct(), "told")
+    in_kb = lasting(lambda: K.known_pairs(worded, kb, org), "told_known")
     c = E.less_found(worded.join(in_kb, E.PAIR, "left_semi"), b)
     outside = worded.join(in_kb, E.PAIR, "left_anti")
-    d = E.less_found(outside.join(accepted(outside, by_words), E.PAIR, "left_semi"), a)
+    right = lasting(lambda: outside.join(accepted(outside, by_words), E.PAIR, "left_semi"), "told_right")
+    d = E.less_found(right, a)
     return Evaluation(a, b, wrong, c, d, E.metrics(a, b, s, c, d))

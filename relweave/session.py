@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
+from typing import ParamSpec, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+P, R = ParamSpec("P"), TypeVar("R")
+
 
 def get_spark(app: str = "relweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings that the operators assume (UTC, adaptive execution with skew handling)."""
@@ -62,3 +69,28 @@ def release(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
     return n
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made and written first if it is not there: for results that later runs take over. Whoever changes the input removes it."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return spark.read.parquet(path)
+    df = make()
+    df.write.mode("overwrite").parquet(path)  # what a broken run left there has no _SUCCESS
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def timed(f: Callable[P, R]) -> Callable[P, R]:
+    """f, telling on the error stream how long it took."""
+
+    @functools.wraps(f)
+    def run(*args: P.args, **kwargs: P.kwargs) -> R:
+        began = time.perf_counter()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            print(f"{f.__name__}: {time.perf_counter() - began:.3f} s", file=sys.stderr)
+
+    return run
