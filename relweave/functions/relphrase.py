@@ -112,6 +112,11 @@ def passive_voice(phrase: Column) -> Column:
 
 def content_words(tagged: Column) -> Column:
     """Tokens of the relational phrase, or of all if there is none, without stop words, adjectives and adverbs."""
-    chosen = let(relational_phrase(tagged), lambda phrase: F.when(F.size(phrase) > 0, phrase).otherwise(tagged))
+    return let(relational_phrase(tagged), lambda phrase: content_of(phrase, tagged))
+
+
+def content_of(phrase: Column, tagged: Column) -> Column:
+    """content_words where the phrase is known."""
+    chosen = F.when(F.size(phrase) > 0, phrase).otherwise(tagged)
     kept = F.filter(chosen, lambda t: ~F.lower(t["tok"]).isin(STOPWORDS) & ~F.coalesce(t["tag"].isin(FILTER_TAGS), F.lit(False)))
     return F.transform(kept, lambda t: t["tok"])

@@ -141,9 +141,11 @@ def joined(tagged: Column) -> Column:
 
 def tuples(rels: DataFrame) -> DataFrame:
     """Relationships with what the matcher needs: context strings, content words, passive voice, and the key of equal tuples."""
-    phrase = relphrase.relational_phrase(F.col("between"))
-    rows = rels.withColumn("bef_words", joined(F.col("before"))).withColumn("bet_words", joined(F.col("between"))).withColumn("aft_words", joined(F.col("after")))
-    rows = rows.withColumn("passive_voice", (F.size(phrase) > 0) & relphrase.passive_voice(phrase)).withColumn("bet_filtered", relphrase.content_words(F.col("between")))
+    # the phrase is found once, and both of what is told from it are made behind an explode, so that nothing is computed twice
+    both = lambda p: F.struct(((F.size(p) > 0) & relphrase.passive_voice(p)).alias("passive_voice"), relphrase.content_of(p, F.col("between")).alias("bet_filtered"))
+    told = rels.withColumn("__told", F.explode(F.array(let(relphrase.relational_phrase(F.col("between")), both))))
+    rows = told.select(*rels.columns, "__told.passive_voice", "__told.bet_filtered")
+    rows = rows.withColumn("bef_words", joined(F.col("before"))).withColumn("bet_words", joined(F.col("between"))).withColumn("aft_words", joined(F.col("after")))
     return rows.withColumn("tuple_key", tuple_key(*[F.col(c) for c in ("ent1", "ent2", "bef_words", "bet_words", "aft_words")]))
 
 

@@ -64,17 +64,14 @@ def _x(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _sizes(members: DataFrame) -> DataFrame:
-    return members.groupBy("pattern_id").agg((F.count(F.lit(1)) * F.max(F.size("x")) * 8).alias("bytes"))
-
-
 def _blocks(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Members in blocks of whole patterns of about SENT bytes, and those of each pattern that is larger by itself, in parts of about SENT bytes."""
-    sizes = _sizes(members)
-    large = [(r.pattern_id, r.bytes) for r in sizes.where(F.col("bytes") > SENT).collect()]  # as many as fit their size at most
+    sizes = members.groupBy("pattern_id").agg((F.count(F.lit(1)) * F.max(F.size("x")) * 8).alias("bytes"))
+    big = F.col("bytes") > SENT
+    # patterns that are larger than a block are as few as their size makes them
+    total, large = sizes.agg(F.coalesce(F.sum(F.when(~big, F.col("bytes"))), F.lit(0)), F.collect_list(F.when(big, F.struct("pattern_id", "bytes")))).first()
     small = members.where(~F.col("pattern_id").isin([p for p, _ in large])) if large else members
-    total = sizes.where(F.col("bytes") <= SENT).agg(F.sum("bytes")).first()[0] or 0
-    n = max(1, -(-2 * total // SENT)) if total > SENT else 1 if total else 0
+    n = -(-2 * total // SENT) if total > SENT else 1 if total else 0
     whole = [small.where(F.pmod(F.xxhash64("pattern_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [small] * n
     parts = []
     for pid, size in large:
