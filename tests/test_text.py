@@ -121,3 +121,24 @@ def test_native_tags_are_the_rule_tagger(spark):
     assert all(got[i] == (None if r is None else tagging.rule_tags(r)) for i, r in enumerate(rows))
     own = {r.i: r.g for r in df.select("i", tagging.pos_tags(F.col("t"), lambda t: ["X"] * len(t)).alias("g")).collect()}
     assert own[300] is None and all(own[i] == ["X"] * len(r) for i, r in enumerate(rows[:300]))
+
+
+def test_jaro_winkler_of_many(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from relweave.functions import fuzzy
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdé中 ") for _ in range(rng.choice([0, 1, 2, 5, 9, 30])))
+    pairs = [(a := word(), a if rng.random() < 0.1 else "".join(rng.sample(a, len(a))) if rng.random() < 0.4 else word()) for _ in range(800)] + [("MARTHA", "MARHTA"), ("x" * 3000, "x" * 2999 + "y"), ("", "a"), ("", "")]
+    want = [fuzzy.jaro_winkler(a, b) for a, b in pairs]
+    for lot in (fuzzy.LOT, 50):
+        monkeypatch.setattr(fuzzy, "LOT", lot)
+        got = fuzzy.jaro_winkler_all([a for a, _ in pairs], [b for _, b in pairs])
+        assert max(abs(g - w) for g, w in zip(got, want)) < 1e-12
+    assert len(fuzzy.jaro_winkler_all([], [])) == 0
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(9000, None, "a"), (9001, "a", None)], "i int, a string, b string")
+    rows = {r.i: r.s for r in df.select("i", fuzzy.jaro_winkler_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert rows[9000] is None and rows[9001] is None and all(abs(rows[i] - w) < 1e-12 for i, w in enumerate(want))
