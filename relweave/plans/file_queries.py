@@ -144,3 +144,15 @@ def stream_match(spark: Spark, d: str) -> DataFrame:
 def kb_jaro_winkler_first(spark: Spark, d: str) -> DataFrame:
     hits = K.fuzzy_matches(R._pairs(spark, d), table(spark, d, "kb"), "arg1", True)
     return hits.where("winkler is not null").select("ent1", "ent2", "e1", F.round("winkler", 6).alias("winkler"))
+
+
+_EDITED = "pairs as (select distinct e1 as ent1, substr(e2, 1, 2) || substr(e2, 2) as ent2 from kb where e1 is not null and e2 is not null), k as (select distinct e1, e2 from kb where e1 is not null and e2 is not null)"
+
+
+@query(f"with {_EDITED} select ent1, ent2, e2, round(jaro_winkler_similarity(upper(ent2), upper({R._ARG2})), 6) as winkler from pairs join k on ent1 = e1 where {R._jac('ent2', R._ARG2)} < 0.5 and jaro_winkler_similarity(upper(ent2), upper({R._ARG2})) >= 0.9")
+def kb_jaro_winkler_edited(spark: Spark, d: str) -> DataFrame:
+    # facts whose second name is typed with a letter doubled
+    kb = table(spark, d, "kb")
+    typed = kb.where("e1 is not null and e2 is not null").select(F.col("e1").alias("ent1"), F.expr("substring(e2, 1, 2) || substring(e2, 2)").alias("ent2"))
+    hits = K.fuzzy_matches(typed, kb, "arg2", True)
+    return hits.where("winkler is not null").select("ent1", "ent2", "e2", F.round("winkler", 6).alias("winkler"))
