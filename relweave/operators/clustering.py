@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Similarities are rounded to so many digits, so that equal ones are equal however they are summed up.
+#: Similarities are rounded to so many digits, so that equal ones are equal however they are summed up; HALF a unit of the last digit is what
+#: rounding adds at most, so that a similarity reaches a threshold where its rounded value does.
 DIGITS = 12
+HALF = 0.5 * 10.0**-DIGITS
 
 
 class Clusters:
@@ -53,11 +55,11 @@ class Clusters:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """For each cluster its highest similarity to x, at least 0, or 0 if fewer members than not are similar: one product for all members."""
-        s, of = np.round(self.x[: self.size] @ x, DIGITS), self.of[: self.size]
-        good = np.bincount(of[s >= self.threshold], minlength=len(self.ids))
+        s, of = self.x[: self.size] @ x, self.of[: self.size]
+        good = np.bincount(of[s >= self.threshold - HALF], minlength=len(self.ids))
         top = np.zeros(len(self.ids))
         np.maximum.at(top, of, s)
-        return np.where(2 * good >= self.count, top, 0.0)
+        return np.where(2 * good >= self.count, np.round(top, DIGITS), 0.0)
 
     def add(self, key: str, x: np.ndarray) -> list[tuple[int, str]]:
         """Puts a tuple into the accepting cluster with the highest score, or a new one below the threshold. What was added."""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relweave.operators.clustering import DIGITS
+from relweave.operators.clustering import DIGITS, HALF
 from relweave.session import materialize
 
 #: Bytes of member vectors that are sent to the executors at once; more members are matched in blocks.
@@ -52,9 +52,9 @@ class Members:
 
     def score(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(accepted, score) of each row of x (rows) and pattern (columns)."""
-        s = np.round(x @ self.x.T, DIGITS)
-        good = np.add.reduceat((s >= threshold).astype(np.int64), self.first, axis=1)
-        top = np.maximum(np.maximum.reduceat(s, self.first, axis=1), 0.0)
+        s = x @ self.x.T
+        good = np.add.reduceat((s >= threshold - HALF).astype(np.int32), self.first, axis=1)
+        top = np.round(np.maximum(np.maximum.reduceat(s, self.first, axis=1), 0.0), DIGITS)
         ok = 2 * good >= self.n
         return ok, np.where(ok, top, 0.0)
 
@@ -104,8 +104,8 @@ def _split_votes(rows: DataFrame, parts: list[DataFrame], threshold: float) -> D
             for b in batches:
                 m = sent.value
                 if b.num_rows and len(m.ids):
-                    s = np.round(_x(b.column("x")) @ m.x.T, DIGITS)
-                    good, top = (s >= threshold).sum(1), s.max(1)
+                    s = _x(b.column("x")) @ m.x.T
+                    good, top = (s >= threshold - HALF).sum(1), np.round(s.max(1), DIGITS)
                     yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.full(len(good), m.ids[0])), pa.array(good), pa.array(np.full(len(good), s.shape[1])), pa.array(top)], ["k", "pattern_id", "good", "n", "top"])
 
         out.append(rows.select("k", "x").mapInArrow(run, "k bigint, pattern_id bigint, good bigint, n bigint, top double"))
