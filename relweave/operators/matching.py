@@ -6,7 +6,9 @@ tuples is one dot product. Patterns are sets of members (pattern_id, tuple_key,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,10 @@ from relweave.session import materialize
 
 #: Bytes of member vectors that are sent to the executors at once; more members are matched in blocks.
 SENT = 64 << 20
+#: Similarities that a worker holds at once.
+CELLS = 2 << 20
+#: Vectors of this length or more are not compared in single precision.
+LARGE = 1e15
 
 
 def seed_matches(tuples: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -42,21 +48,49 @@ def best_patterns(voted: DataFrame, key: str = "tuple_ord") -> DataFrame:
 
 
 class Members:
-    """Members of patterns as a matrix, patterns one after the other."""
+    """Members of patterns as a matrix, patterns one after the other; or a part of those of one pattern of n members."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, n: int | None = None):
         order = np.argsort(ids, kind="stable")
         self.x = x[order]
         self.ids, self.first = np.unique(ids[order], return_index=True)
-        self.n = np.diff(np.append(self.first, len(ids)))
-
-    def score(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(accepted, score) of each row of x (rows) and pattern (columns)."""
-        s = x @ self.x.T
-        good = np.add.reduceat((s >= threshold - HALF).astype(np.int32), self.first, axis=1)
-        top = np.round(np.maximum(np.maximum.reduceat(s, self.first, axis=1), 0.0), DIGITS)
-        ok = 2 * good >= self.n
-        return ok, np.where(ok, top, 0.0)
+        self.n = np.diff(np.append(self.first, len(ids))) if n is None else np.array([n])
+        self.norm = np.sqrt(np.square(self.x).sum(1).max(initial=0.0))
+        # a pattern whose first members are not similar cannot win its vote: more than half of them are looked at first, in single precision
+        seen = np.minimum(self.n, self.n // 2 + 1 + self.n // 16) if n is None else np.array([len(ids)])
+        self.seen, self.rest, self.start = seen, self.n - seen, np.cumsum(seen) - seen
+
+    @functools.cached_property
+    def near(self) -> np.ndarray:
+        """The members looked at first; made where it is used, not sent."""
+        return self.x[np.repeat(self.first - self.start, self.seen) + np.arange(self.seen.sum())].astype(np.float32)
+
+    def screened(self, x: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows of x by slices: where a slice begins, and for each pattern (rows) and row (columns) at least as many as are similar of the members
+        looked at first. Single precision errs by less than the slack; rows that are no such numbers get all."""
+        step, of = max(1, CELLS // max(1, len(self.near))), np.repeat(np.arange(len(self.ids)), self.seen)
+        norm = np.sqrt(np.square(x).sum(1))
+        low = threshold - HALF - ((x.shape[1] + 8) * norm * self.norm + abs(threshold)) * 2.0**-22
+        odd = ~((norm < LARGE) & (self.norm < LARGE))
+        for at in range(0, len(x), step):
+            with np.errstate(over="ignore", invalid="ignore"):
+                close = self.near @ x[at : at + step].astype(np.float32).T >= low[at : at + step].astype(np.float32)
+            m, row = np.divmod(np.flatnonzero(close), wide := close.shape[1])  # few are similar: these are counted
+            good = np.bincount(of[m] * wide + row, minlength=wide * len(self.ids)).reshape(-1, wide)
+            good[:, odd[at : at + step]] = len(self.near)
+            yield at, good
+
+    def accepted(self, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, pattern_id, score) of each row of x and pattern that accepts it, by slices of the rows; what the first look leaves open is computed in full."""
+        for at, good in self.screened(x, threshold):
+            j, i = np.nonzero(2 * (good + self.rest[:, None]) >= self.n[:, None])
+            found = []
+            for rows, p in zip(np.split(i + at, cut := np.flatnonzero(np.diff(j)) + 1), j[np.append(0, cut)] if len(j) else []):
+                s = x[rows] @ self.x[self.first[p] : self.first[p] + self.n[p]].T
+                ok = 2 * (s >= threshold - HALF).sum(1) >= self.n[p]
+                found.append((rows[ok], np.full(ok.sum(), self.ids[p]), np.round(np.maximum(s[ok].max(1), 0.0), DIGITS)))
+            if found:
+                yield tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _x(column: pa.Array) -> np.ndarray:
@@ -64,78 +98,126 @@ def _x(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _blocks(members: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Members in blocks of whole patterns of about SENT bytes, and those of each pattern that is larger by itself, in parts of about SENT bytes."""
-    sizes = members.groupBy("pattern_id").agg((F.count(F.lit(1)) * F.max(F.size("x")) * 8).alias("bytes"))
+def _blocks(members: DataFrame) -> tuple[list[DataFrame], list[tuple[int, list[DataFrame]]]]:
+    """Members in blocks of whole patterns of about SENT bytes; and of each pattern that is larger by itself how many and those in parts of about SENT bytes."""
+    sizes = members.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.max(F.size("x")) * 8).alias("bytes"))
     big = F.col("bytes") > SENT
     # patterns that are larger than a block are as few as their size makes them
-    total, large = sizes.agg(F.coalesce(F.sum(F.when(~big, F.col("bytes"))), F.lit(0)), F.collect_list(F.when(big, F.struct("pattern_id", "bytes")))).first()
-    small = members.where(~F.col("pattern_id").isin([p for p, _ in large])) if large else members
+    total, large = sizes.agg(F.coalesce(F.sum(F.when(~big, F.col("bytes"))), F.lit(0)), F.collect_list(F.when(big, F.struct("pattern_id", "n", "bytes")))).first()
+    small = members.where(~F.col("pattern_id").isin([p for p, _, _ in large])) if large else members
     n = -(-2 * total // SENT) if total > SENT else 1 if total else 0
     whole = [small.where(F.pmod(F.xxhash64("pattern_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [small] * n
     parts = []
-    for pid, size in large:
+    for pid, count, size in large:
         k = -(-size // SENT)
-        parts += [members.where((F.col("pattern_id") == pid) & (F.pmod(F.xxhash64("x"), F.lit(k)) == i)) for i in range(k)]
+        parts.append((count, [members.where((F.col("pattern_id") == pid) & (F.pmod(F.xxhash64("x"), F.lit(k)) == i)) for i in range(k)]))
     return whole, parts
 
 
-def _sent(block: DataFrame):
-    """A block's members on all executors, about SENT bytes."""
+def _sent(block: DataFrame, n: int | None = None):
+    """A block's members on all executors, about SENT bytes; None if it has none."""
     rows = block.select("pattern_id", "x").toArrow()
-    return block.sparkSession.sparkContext.broadcast(Members(rows["pattern_id"].to_numpy(), _x(rows["x"].combine_chunks())))
-
-
-def _united(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    for p in parts:
-        empty = empty.unionByName(p)
-    return empty
-
-
-def _split_votes(rows: DataFrame, parts: list[DataFrame], threshold: float) -> DataFrame | None:
-    """(k, pattern_id, score) of accepting patterns that are too large for one block: the votes of their parts are added up."""
-    if not parts:
-        return None
-    out = []
-    for part in parts:
-        sent = _sent(part)
+    if rows.num_rows:
+        return block.sparkSession.sparkContext.broadcast(Members(rows["pattern_id"].to_numpy(), _x(rows["x"].combine_chunks()), n))
+
+
+class Patterns:
+    """Blocks of members on all executors. A worker holds one block at a time, so each batch of tuples meets the blocks in turn where it is."""
+
+    def __init__(self, whole: list[DataFrame], parts: list[tuple[int, list[DataFrame]]]):
+        self.whole = [b for b in map(_sent, whole) if b]
+        self.parts = [(n, [b for b in (_sent(p, n) for p in blocks) if b]) for n, blocks in parts]
+        self.one = len(self.whole) + len(self.parts) == 1 and not self.parts
+
+    def destroy(self) -> None:
+        """Takes the blocks from the executors and from the driver's disk."""
+        for sent in self.whole + [b for _, blocks in self.parts for b in blocks]:
+            sent.destroy()
+
+    @contextmanager
+    def _held(self, sent) -> Iterator[Members]:
+        yield sent.value
+        if not self.one:
+            sent.__dict__.pop("_value", None)  # read again from the worker's disk for the next batch
+
+    def accepted(self, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, pattern_id, score) of each row of x and pattern that accepts it, in pieces."""
+        if not len(x):
+            return
+        for sent in self.whole:
+            with self._held(sent) as m:
+                yield from m.accepted(x, threshold)
+        for n, parts in self.parts:
+            # rows that can't win the vote any more are left out as soon as that is known
+            rows, good, left = np.arange(len(x)), np.zeros(len(x), np.int64), n
+            for sent in parts:
+                with self._held(sent) as m:
+                    left -= len(m.x)
+                    for at, close in m.screened(x[rows], threshold):
+                        good[rows[at : at + close.shape[1]]] += close[0]
+                rows = rows[2 * (good[rows] + left) >= n]
+                if not len(rows):
+                    break
+            if not len(rows):
+                continue
+            good, top = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            for sent in parts:
+                with self._held(sent) as m:
+                    step, pid = max(1, CELLS // len(m.x)), m.ids[0]
+                    for at in range(0, len(rows), step):
+                        s = x[rows[at : at + step]] @ m.x.T
+                        good[at : at + step] += (s >= threshold - HALF).sum(1)
+                        top[at : at + step] = np.maximum(top[at : at + step], s.max(1))
+            ok = 2 * good >= n
+            yield rows[ok], np.full(ok.sum(), pid), np.round(top[ok], DIGITS)
+
+    def best(self, x: np.ndarray, threshold: float, seen=lambda i, p: None) -> tuple[np.ndarray, np.ndarray]:
+        """(pattern_id, score) of each row's best accepting pattern, the lowest of equal ones; 0 if none has more. seen is told which patterns accept which rows."""
+        best, top = np.full(len(x), -1, np.int64), np.zeros(len(x))
+        for i, p, s in self.accepted(x, threshold):
+            seen(i, p)
+            order = np.lexsort((p, -s, i))
+            i, p, s = i[order], p[order], s[order]
+            lead = np.append(True, i[1:] != i[:-1])[: len(i)]
+            i, p, s = i[lead], p[lead], s[lead]
+            more = (s > top[i]) | (s == top[i]) & (s > 0) & (p < best[i])
+            best[i[more]], top[i[more]] = p[more], s[more]
+        return best, top
+
+
+def _in_rounds(rows: DataFrame, members: DataFrame, run: Callable[[Patterns, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> list[DataFrame]:
+    """What run makes of rows with each block, or with all parts of a pattern: if these are more than one, each is written before the next goes out, so that the
+    executors' disks hold one at a time. rows is then read as often: a table, not a join."""
+    whole, parts = _blocks(members)
+    rounds = [([b], []) for b in whole] + [([], [p]) for p in parts] or [([], [])]
+    made = []
+    for r in rounds:
+        patterns = Patterns(*r)
+        made.append(rows.mapInArrow(lambda batches, patterns=patterns: run(patterns, batches), schema))
+        if len(rounds) > 1:
+            made[-1] = materialize(made[-1], name)
+            patterns.destroy()
+    return made
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                m = sent.value
-                if b.num_rows and len(m.ids):
-                    s = _x(b.column("x")) @ m.x.T
-                    good, top = (s >= threshold - HALF).sum(1), np.round(s.max(1), DIGITS)
-                    yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.full(len(good), m.ids[0])), pa.array(good), pa.array(np.full(len(good), s.shape[1])), pa.array(top)], ["k", "pattern_id", "good", "n", "top"])
 
-        out.append(rows.select("k", "x").mapInArrow(run, "k bigint, pattern_id bigint, good bigint, n bigint, top double"))
-    votes = _united(out[1:], out[0]).groupBy("k", "pattern_id").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.max("top").alias("top"))
-    return votes.where(2 * F.col("good") >= F.col("n")).select("k", "pattern_id", F.greatest("top", F.lit(0.0)).alias("score"))
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def match(tuples: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
-    """(key, pattern_id, score) of every accepting pattern, by matrix products over Arrow batches.
+    """(key, pattern_id, score) of every accepting pattern, by matrix products over slices of Arrow batches.
 
-    Members go to the executors if their vectors take at most SENT bytes; else patterns are cut into blocks of about that
-    size, and a pattern that is larger by itself into parts, whose votes are added up.
+    Members go to the executors in blocks of whole patterns of about SENT bytes, and a pattern that is larger by itself in parts, whose votes
+    are added up where the tuple is: nothing is shuffled.
     """
-    rows = tuples.select(F.col(key).cast("bigint").alias("k"), "x")
-    whole, parts = _blocks(members)
-    found = []
-    for block in whole:
-        sent = _sent(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows and len(sent.value.ids):
-                    ok, score = sent.value.score(_x(b.column("x")), threshold)
-                    i, j = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(i)), pa.array(sent.value.ids[j]), pa.array(score[i, j])], ["k", "pattern_id", "score"])
+    def run(patterns: Patterns, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, p, s in patterns.accepted(_x(b.column("x")), threshold):
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(i)), pa.array(p), pa.array(s)], ["k", "pattern_id", "score"])
 
-        found.append(rows.mapInArrow(run, "k bigint, pattern_id bigint, score double"))
-    split = _split_votes(rows, parts, threshold)
-    empty = rows.select("k", F.lit(0).cast("bigint").alias("pattern_id"), F.lit(0.0).alias("score")).limit(0)
-    return _united(found + ([split] if split is not None else []), empty).withColumnRenamed("k", key)
+    rows = tuples.select(F.col(key).cast("bigint").alias("k"), "x")
+    return _united(_in_rounds(rows, members, run, "k bigint, pattern_id bigint, score double", "hits")).withColumnRenamed("k", key)
 
 
 def best_and_counts(classed: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> tuple[DataFrame, DataFrame]:
@@ -146,57 +228,50 @@ def best_and_counts(classed: DataFrame, members: DataFrame, threshold: float, ke
     result is written once and read twice.
     """
     flags = ["pos", "neg", "unk"]
+
+    def run(patterns: Patterns, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told, sums = np.stack([b.column(f).to_numpy() for f in flags]), []
+
+            def seen(i: np.ndarray, p: np.ndarray, told=told, sums=sums) -> None:
+                ids, of = np.unique(p, return_inverse=True)
+                sums.append((ids, *[np.bincount(of, t[i], len(ids)).astype(np.int64) for t in told]))
+
+            best, top = patterns.best(_x(b.column("x")), threshold, seen)
+            some = np.flatnonzero(top > 0)
+            none = np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(some)), pa.array(best[some]), pa.array(top[some]), *[pa.array(none)] * 3], ["k", "pattern_id", "score", *flags])
+            if sums:
+                ids, of = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
+                cols = [np.bincount(of, np.concatenate([s[c] for s in sums]), len(ids)).astype(np.int64) for c in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(np.zeros(len(ids))), *map(pa.array, cols)], ["k", "pattern_id", "score", *flags])
+
     rows = classed.select(F.col(key).cast("bigint").alias("k"), "x", *[F.col(f).cast("bigint").alias(f) for f in flags])
-    whole, parts = _blocks(members)
-    schema = "k bigint, pattern_id bigint, score double, pos bigint, neg bigint, unk bigint"
-    found = []
-    for block in whole:
-        sent = _sent(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                m = sent.value
-                if not b.num_rows or not len(m.ids):
-                    continue
-                ok, score = m.score(_x(b.column("x")), threshold)
-                best = score.argmax(1)  # the lowest pattern of equal scores
-                top = score[np.arange(len(best)), best]
-                some = np.flatnonzero(top > 0)
-                sums = np.stack([b.column(f).to_numpy() for f in flags]) @ ok.astype(np.int64)
-                any_ = np.flatnonzero(ok.any(0))
-                none = np.zeros(len(some), np.int64)
-                k = pa.concat_arrays([b.column("k").take(pa.array(some)), pa.nulls(len(any_), pa.int64())])
-                cols = [k, pa.array(np.concatenate([m.ids[best[some]], m.ids[any_]])), pa.array(np.concatenate([top[some], np.zeros(len(any_))]))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(np.concatenate([none, sums[i, any_]])) for i in range(3)], ["k", "pattern_id", "score", *flags])
-
-        found.append(rows.mapInArrow(run, schema))
-    split = _split_votes(rows, parts, threshold)
-    if split is not None:
-        split = split.join(rows.drop("x"), "k").select("k", "pattern_id", "score", *flags)
-        found += [split.where("score > 0").select("k", "pattern_id", "score", *[F.lit(0).cast("bigint").alias(f) for f in flags]), split.withColumn("k", F.lit(None).cast("bigint"))]
-    empty = rows.select("k", F.lit(0).cast("bigint").alias("pattern_id"), F.lit(0.0).alias("score"), *flags).limit(0)
-    both = materialize(_united(found, empty), "scored")
+    made = _in_rounds(rows, members, run, "k bigint, pattern_id bigint, score double, pos bigint, neg bigint, unk bigint", "scored")
+    both = _united(made) if len(made) > 1 else materialize(made[0], "scored")
     best = both.where("k is not null").select("k", "pattern_id", "score")
-    if len(found) > 1:
+    if len(made) > 1:
         best = best.groupBy("k").agg(F.max_by(F.struct("pattern_id", "score"), F.struct("score", -F.col("pattern_id"))).alias("b")).select("k", "b.pattern_id", "b.score")
     counts = both.where("k is null").groupBy("pattern_id").agg(F.sum("pos").alias("positive"), F.sum("neg").alias("negative"), F.sum("unk").alias("unknown"))
     return best.withColumnRenamed("k", key), counts
 
 
+def best_of_rows(rows: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
+    """(key, pattern_id, score) of the best accepting pattern of each row with a score above 0, row by row: also for streams. All blocks go to the executors' disks."""
+    patterns = Patterns(*_blocks(members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, top = patterns.best(_x(b.column("x")), threshold)
+            some = np.flatnonzero(top > 0)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(some)), pa.array(best[some]), pa.array(top[some])], ["k", "pattern_id", "score"])
+
+    return rows.select(F.col(key).cast("bigint").alias("k"), "x").mapInArrow(run, "k bigint, pattern_id bigint, score double").withColumnRenamed("k", key)
+
+
 def best_of_stream(stream: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
-    """(key, pattern_id, score) of the best accepting pattern of each row with a score above 0, for streams. members must fit one block."""
+    """best_of_rows for patterns that fit one block; others are refused."""
     whole, parts = _blocks(members)
     if parts or len(whole) > 1:
         raise ValueError("the patterns do not fit one block")
-    sent = _sent(whole[0]) if whole else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and sent is not None:
-                _, score = sent.value.score(_x(b.column("x")), threshold)
-                best = score.argmax(1)
-                top = score[np.arange(len(best)), best]
-                some = np.flatnonzero(top > 0)
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(some)), pa.array(sent.value.ids[best[some]]), pa.array(top[some])], ["k", "pattern_id", "score"])
-
-    return stream.select(F.col(key).cast("bigint").alias("k"), "x").mapInArrow(run, "k bigint, pattern_id bigint, score double").withColumnRenamed("k", key)
+    return best_of_rows(stream, members, threshold, key)

@@ -382,12 +382,29 @@ def context_similarity(spark: Spark, d: str) -> DataFrame:
 # ---- seeds, patterns and confidence, over the stored tuples
 
 
-def stored(spark: Spark, d: str) -> DataFrame:
-    """The stored tuples with their relation's names: tuple_ord, tuple_key, ent1, ent2, x and the output's columns."""
+def _named(spark: Spark, d: str) -> DataFrame:
+    """The stored tuples with their relation's names: tuple_ord, tuple_key, ent1, ent2, the context vectors and the output's columns."""
     t, r = table(spark, d, "tuples"), extracted(spark, d)
     rows = t.select("tuple_id", "rel_id", *VECTORS).join(r, "rel_id")
     key = extract.tuple_key(*[F.col(c) for c in ("ent1", "ent2", "bef_words", "bet_words", "aft_words")])
-    return rows.select(F.col("tuple_id").alias("tuple_ord"), key.alias("tuple_key"), "ent1", "ent2", V.weighted_unit(VECTORS, DIM).alias("x"), *B.OUTPUT[3:])
+    return rows.select(F.col("tuple_id").alias("tuple_ord"), key.alias("tuple_key"), "ent1", "ent2", *VECTORS, *B.OUTPUT[3:])
+
+
+def with_x(rows: DataFrame) -> DataFrame:
+    """The context vectors as one."""
+    at = rows.columns.index("bef_vector")
+    rest = [c for c in rows.columns if c not in VECTORS]
+    return rows.select(*rest[:at], V.weighted_unit(VECTORS, DIM).alias("x"), *rest[at:])
+
+
+def stored(spark: Spark, d: str) -> DataFrame:
+    """The stored tuples: tuple_ord, tuple_key, ent1, ent2, x and the output's columns."""
+    return with_x(_named(spark, d))
+
+
+def kept(spark: Spark, d: str, *columns: str) -> DataFrame:
+    """These columns of the stored tuples and their vectors, written once: x, which takes several times as much, is made of them as they are read."""
+    return materialize(_named(spark, d).select(*columns, *VECTORS), "stored")
 
 
 STORED = f"{FACTS}, st as (select t.tuple_id as tuple_ord, t.rel_id, f.ent1, f.ent2, t.bef_vector, t.bet_vector, t.aft_vector, f.bef_words, f.bet_words, f.aft_words from tuples t join facts f using (rel_id))"
@@ -425,21 +442,26 @@ votes as (select tuple_ord, pattern_id, count(*) filter (s >= 0.3) as good, coun
 voted as (select tuple_ord, pattern_id, good, bad, top as score from votes where good >= bad)"""
 
 
-def members(spark: Spark, d: str) -> DataFrame:
-    """Patterns of the stored tuples that share a first name with a positive seed: one for each name."""
+def members(spark: Spark, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Patterns of the stored tuples (rows, if they are kept) that share a first name with a positive seed: one for each name."""
     names = C.number_rows(seeded_names(spark, d), "ent1", "pattern_id")
-    return materialize(stored(spark, d).join(names, "ent1").select(F.col("pattern_id").cast("bigint").alias("pattern_id"), "tuple_key", "tuple_ord", "x"), "members")
+    named = (_named(spark, d) if rows is None else rows).join(names, "ent1")
+    return with_x(materialize(named.select(F.col("pattern_id").cast("bigint").alias("pattern_id"), "tuple_key", "tuple_ord", *VECTORS), "members"))
+
+
+def _votes(spark: Spark, d: str) -> DataFrame:
+    rows = kept(spark, d, "tuple_ord", "tuple_key", "ent1")
+    return matching.match(with_x(rows), members(spark, d, rows), 0.3)
 
 
 @query(f"with {_VOTED} select tuple_ord, pattern_id, round(score, 6) as score from voted")
 def pattern_vote(spark: Spark, d: str) -> DataFrame:
-    hits = matching.match(stored(spark, d), members(spark, d), 0.3)
-    return hits.select("tuple_ord", "pattern_id", F.round("score", 6).alias("score"))
+    return _votes(spark, d).select("tuple_ord", "pattern_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_VOTED}, r as (select *, row_number() over (partition by tuple_ord order by round(score, 9) desc, pattern_id) as k from voted where score > 0) select tuple_ord, pattern_id, round(score, 4) as score from r where k = 1")
 def best_pattern(spark: Spark, d: str) -> DataFrame:
-    hits = matching.match(stored(spark, d), members(spark, d), 0.3).withColumn("score", F.round("score", 9))
+    hits = _votes(spark, d).withColumn("score", F.round("score", 9))
     return matching.best_patterns(hits.withColumn("accepted", F.lit(True))).select("tuple_ord", "pattern_id", F.round("score", 4).alias("score"))
 
 
@@ -461,8 +483,9 @@ conf as (select *, case when positive > 0 then positive / (positive + unknown *
 
 def _confident(spark: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     positive, negative = seed_pairs(spark, d)
-    rows = materialize(stored(spark, d), "stored")
-    hits = materialize(matching.match(rows, members(spark, d), 0.3), "hits")
+    named = materialize(_named(spark, d), "stored")
+    rows = with_x(named)
+    hits = materialize(matching.match(rows, members(spark, d, named), 0.3), "hits")
     counts = scoring.pattern_counts(hits, scoring.selectivity_classes(rows, positive, negative))
     sure = scoring.pattern_confidence(F.col("positive"), F.col("negative"), F.col("unknown"), 2.0, 0.1)
     return rows, hits, counts.withColumn("confidence", sure)

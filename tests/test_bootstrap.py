@@ -213,3 +213,48 @@ def test_best_and_counts_in_blocks_and_parts(spark, monkeypatch):
         assert {r.pattern_id: [r.positive, r.negative, r.unknown] for r in n.collect() if r.positive + r.negative + r.unknown} == counts
         hits = {(r.tuple_ord, r.pattern_id, round(r.score, 6)) for r in matching.match(tuples, members, 0.1).collect()}
         assert hits == {(r.tuple_ord, r.pattern_id, round(r.score, 6)) for r in voted}
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_is_matched_in_little_memory(spark, monkeypatch):
+    # best_pattern, pattern_vote and what is made from them: a batch of 10,000 tuples against 6,000 members had all 60 million similarities at once
+    g = np.random.default_rng(7)
+    x, y, ids = g.normal(size=(10_000, 8)), g.normal(size=(6_000, 8)), np.arange(6_000) % 700
+    total = []
+
+    class Here:  # a broadcast without executors
+        def __init__(self, m):
+            self.value = m
+
+    monkeypatch.setattr(matching, "_sent", lambda block, n=None: Here(matching.Members(*block, n)))
+    for whole, parts in (([(ids, y)], []), ([], [(6_000, [(np.zeros(3_000, int), y[:3_000]), (np.zeros(3_000, int), y[3_000:])])])):
+        patterns = matching.Patterns(whole, parts)
+        found = []
+        assert peak_mb(lambda: found.extend(len(i) for i, _, _ in patterns.accepted(x, 1.0))) < 100
+        total.append(sum(found))
+    s = x[:200] @ y.T
+    want = {(i, int(p)) for p in range(700) for i in np.flatnonzero(2 * (s[:, ids == p] >= 1.0).sum(1) >= (ids == p).sum())}
+    got = {(int(i), int(p)) for b in matching.Members(ids, y).accepted(x[:200], 1.0) for i, p in zip(b[0], b[1])}
+    assert got == want and total[0]
+
+
+@pytest.mark.parametrize("odd", [np.nan, np.inf, 1e30])
+def test_odd_vectors_are_matched_exactly(odd):
+    g = np.random.default_rng(9)
+    x, y, ids = g.normal(size=(40, 6)), g.normal(size=(90, 6)), np.arange(90) % 11
+    x[3, 2], y[5, 1] = odd, odd
+    with np.errstate(all="ignore"):
+        s = x @ y.T
+        want = {(i, p) for p in range(11) for i in range(40) if 2 * (s[i, ids == p] >= 0.2).sum() >= (ids == p).sum()}
+        got = {(int(i), int(p)) for b in matching.Members(ids, y).accepted(x, 0.2) for i, p in zip(b[0], b[1])}
+    assert got == want and len(got) > 50
