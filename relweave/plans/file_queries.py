@@ -134,9 +134,10 @@ def parameter_file(spark: Spark, d: str) -> DataFrame:
 def stream_match(spark: Spark, d: str) -> DataFrame:
     # the tuples come as a stream, the patterns are frozen
     path = _folder(spark, "arriving")
-    C.write_tuples(R.stored(spark, d).select("tuple_ord", "x"), path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    got = streaming.drain(streaming.matches(stream, R.members(spark, d), 0.3))
+    C.write_tuples(R._named(spark, d).select("tuple_ord", "tuple_key", "ent1", *R.VECTORS), path)
+    rows = C.read_tuples(spark, path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    got = streaming.drain(streaming.matches(R.with_x(stream), R.members(spark, d, rows), 0.3))
     return got.select("tuple_ord", "pattern_id", F.round("score", 3).alias("score"))
 
 

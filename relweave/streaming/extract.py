@@ -42,9 +42,9 @@ def relationships(stream: DataFrame, config: Config | None = None, tagger: Tagge
 def matches(stream: DataFrame, members: DataFrame, threshold: float, key: str = "tuple_ord") -> DataFrame:
     """(key, pattern_id, score): of a stream of tuples (key, x) the best pattern of each that any accepts. The patterns are frozen.
 
-    Row-local: the members go to the executors once, which holds for patterns that fit one block (operators.matching.SENT).
+    Row-local: the members go to the executors once, in blocks (operators.matching.SENT) that each batch of rows meets in turn.
     """
-    return matching.best_of_stream(stream, members, threshold, key)
+    return matching.best_of_rows(stream, members, threshold, key)
 
 
 def drain(stream: DataFrame) -> DataFrame:

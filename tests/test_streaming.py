@@ -49,3 +49,19 @@ def test_patterns_that_fit_no_block(spark, monkeypatch):
     members = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])], "pattern_id bigint, tuple_key string, x array<double>")
     with pytest.raises(ValueError):
         matching.best_of_stream(members, members, 0.5)
+
+
+def test_frozen_patterns_of_many_blocks(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    size = [30, 5, 1, 8, 2]
+    members = spark.createDataFrame([(p, f"k{p}{k}", g.normal(size=8).tolist()) for p, n in enumerate(size) for k in range(n)], "pattern_id bigint, tuple_key string, x array<double>")
+    tuples = spark.createDataFrame([(i, g.normal(size=8).tolist()) for i in range(60)], "tuple_ord bigint, x array<double>")
+    tuples.write.parquet(str(tmp_path / "t"))
+    best = matching.best_patterns(matching.match(tuples, members, 0.1).withColumn("accepted", F.lit(True)))
+    want = {(r.tuple_ord, r.pattern_id, round(r.score, 6)) for r in best.collect()}
+    monkeypatch.setattr(matching, "SENT", 100)
+    stream = spark.readStream.schema(tuples.schema).parquet(str(tmp_path / "t"))
+    got = {(r.tuple_ord, r.pattern_id, round(r.score, 6)) for r in streaming.drain(streaming.matches(stream, members, 0.1)).collect()}
+    assert got == want and len(got) > 40
