@@ -15,15 +15,37 @@ DIGITS = 12
 HALF = 0.5 * 10.0**-DIGITS
 
 
+#: Tuples that are compared with the members at once, and members of a piece of the matrix.
+BLOCK, PIECE = 512, 8192
+
+
+def similar(y: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, similarity) where it reaches the threshold: single precision, which errs by less than the slack, leaves few to compute in full."""
+    norm, most = np.sqrt(np.square(x).sum(1)), np.sqrt(np.square(y).sum(1).max(initial=0.0))
+    low = threshold - HALF - ((x.shape[1] + 8) * norm * most + abs(threshold)) * 2.0**-22
+    with np.errstate(over="ignore", invalid="ignore"):
+        close = y.astype(np.float32) @ x.astype(np.float32).T >= low.astype(np.float32)
+        close[:, ~((norm < 1e15) & (most < 1e15))] = True
+        cells = np.flatnonzero(close)
+        m, row = np.divmod(cells, len(x))
+        if len(cells) > close.size // 20:
+            s = (y @ x.T).ravel()[cells]
+        else:
+            s = np.concatenate([np.empty(0)] + [np.einsum("ij,ij->i", y[m[i : i + 16384]], x[row[i : i + 16384]]) for i in range(0, len(cells), 16384)])
+    ok = s >= threshold - HALF
+    return row[ok], m[ok], s[ok]
+
+
 class Clusters:
-    """Clusters as they grow: the members' keys, and the vectors of all members in one matrix."""
+    """Clusters as they grow: the members' keys, and the vectors of all members in pieces of a matrix."""
 
     def __init__(self, threshold: float, first_id: int = 0):
         self.threshold, self.next, self.size = threshold, first_id, 0
         self.ids: list[int] = []
         self.keys: list[set[str]] = []
         self.where: dict[int, int] = {}
-        self.x, self.of, self.count = np.empty((0, 0)), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pieces: list[np.ndarray] = []
+        self.of, self.count = np.empty(64, np.int64), np.empty(64, np.int64)
 
     def load(self, pattern_id: int, key: str, x: np.ndarray) -> None:
         """A member of an earlier pass."""
@@ -32,47 +54,70 @@ class Clusters:
         self._put(self.where[pattern_id], key, x)
 
     def _open(self, pattern_id: int) -> int:
-        self.where[pattern_id] = len(self.ids)
+        c = self.where[pattern_id] = len(self.ids)
         self.ids.append(pattern_id)
         self.keys.append(set())
-        self.count = np.append(self.count, 0)
+        if c == len(self.count):
+            self.count = np.resize(self.count, 2 * c)
+        self.count[c] = 0
         self.next = max(self.next, pattern_id + 1)
-        return len(self.ids) - 1
+        return c
 
     def _put(self, c: int, key: str, x: np.ndarray) -> bool:
         if key in self.keys[c]:
             return False
         self.keys[c].add(key)
-        if self.size == len(self.of):  # room is doubled
-            room = max(64, 2 * self.size)
-            grown, of = np.empty((room, len(x))), np.empty(room, np.int64)
-            grown[: self.size], of[: self.size] = self.x[: self.size].reshape(self.size, len(x)), self.of[: self.size]
-            self.x, self.of = grown, of
-        self.x[self.size], self.of[self.size] = x, c
+        if self.size == len(self.of):
+            self.of = np.resize(self.of, 2 * self.size)
+        if self.size == PIECE * len(self.pieces):
+            self.pieces.append(np.empty((PIECE, len(x))))
+        self.pieces[-1][self.size % PIECE], self.of[self.size] = x, c
         self.size += 1
         self.count[c] += 1
         return True
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """For each cluster its highest similarity to x, at least 0, or 0 if fewer members than not are similar: one product for all members."""
-        s, of = self.x[: self.size] @ x, self.of[: self.size]
-        good = np.bincount(of[s >= self.threshold - HALF], minlength=len(self.ids))
-        top = np.zeros(len(self.ids))
+    def _members(self, start: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(start - start % PIECE, end, PIECE):
+            first = max(at, start)
+            yield first, self.pieces[at // PIECE][first - at : end - at]
+
+    def _choose(self, m: np.ndarray, s: np.ndarray) -> int | None:
+        """The accepting cluster with the highest score, the first of equal ones, of those with a similar member (m, similarity s)."""
+        if not len(m):
+            return None
+        c, of = np.unique(self.of[m], return_inverse=True)
+        top = np.zeros(len(c))
         np.maximum.at(top, of, s)
-        return np.where(2 * good >= self.count, np.round(top, DIGITS), 0.0)
+        score = np.where(2 * np.bincount(of) >= self.count[c], np.round(top, DIGITS), 0.0)
+        best = int(score.argmax())
+        return int(c[best]) if score[best] >= self.threshold else None
 
-    def add(self, key: str, x: np.ndarray) -> list[tuple[int, str]]:
-        """Puts a tuple into the accepting cluster with the highest score, or a new one below the threshold. What was added."""
+    def add(self, keys: list[str], x: np.ndarray) -> list[tuple[int, int]]:
+        """Puts the tuples, in their order, into the accepting cluster with the highest score, or a new one below the threshold. (row, pattern) of what was added.
+
+        A block of tuples meets the members before it in one product; those that the block adds are compared one tuple at a time.
+        """
         added = []
-        if not self.ids:  # the very first tuple opens a cluster and is then clustered like any other
-            added.append((self.ids[c := self._open(self.next)], key))
-            self._put(c, key, x)
-        score = self.scores(x)
-        best = int(score.argmax())
-        if score[best] < self.threshold:
-            best = self._open(self.next)
-        if self._put(best, key, x):
-            added.append((self.ids[best], key))
+        for at in range(0, len(x), BLOCK):
+            block, before = x[at : at + BLOCK], self.size
+            found = [(r, m + first, s) for first, y in self._members(0, before) for r, m, s in [similar(y, block, self.threshold)]]
+            r, m, s = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            order = np.argsort(r, kind="stable")
+            m, s, ends = m[order], s[order], np.searchsorted(r[order], np.arange(len(block) + 1))
+            for i, v in enumerate(block):
+                if not self.ids:  # the very first tuple opens a cluster and is then clustered like any other
+                    added.append((at + i, self.ids[c := self._open(self.next)]))
+                    self._put(c, keys[at + i], v)
+                ms, ss = [m[ends[i] : ends[i + 1]]], [s[ends[i] : ends[i + 1]]]
+                for first, y in self._members(before, self.size):
+                    new = y @ v
+                    ms.append(np.flatnonzero(new >= self.threshold - HALF) + first)
+                    ss.append(new[ms[-1] - first])
+                c = self._choose(np.concatenate(ms), np.concatenate(ss))
+                if c is None:
+                    c = self._open(self.next)
+                if self._put(c, keys[at + i], v):
+                    added.append((at + i, self.ids[c]))
         return added
 
 
@@ -90,17 +135,16 @@ def cluster_pass(matched: DataFrame, members: DataFrame | None, threshold: float
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Clusters(threshold, first_id)
         for b in batches:
-            out: list[tuple] = []
-            cols = [b.column(c).to_pylist() for c in ("turn", "ord", "pattern_id", "tuple_key", "x")]
-            for turn, at, pid, key, x in zip(*cols):
-                v = np.asarray(x)
-                if turn == 0:
-                    state.load(pid, key, v)
-                else:
-                    out += [(p, k, at, x) for p, k in state.add(key, v)]
-            names = ["pattern_id", "tuple_key", "tuple_ord", "x"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds)], names)
+            if not b.num_rows:
+                continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            n = int((b.column("turn").to_numpy() == 0).sum())  # earlier members come first
+            keys = b.column("tuple_key").to_pylist()
+            for pid, key, v in zip(b.column("pattern_id")[:n].to_pylist(), keys, x):
+                state.load(pid, key, v)
+            added = state.add(keys[n:], x[n:])
+            at = pa.array([n + i for i, _ in added], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([p for _, p in added], pa.int64()), *[b.column(c).take(at) for c in ("tuple_key", "ord", "x")]], ["pattern_id", "tuple_key", "tuple_ord", "x"])
 
     one = rows.repartition(1).sortWithinPartitions("turn", F.when(F.col("turn") == 0, F.col("pattern_id")), "ord")
     return one.mapInArrow(fold, "pattern_id bigint, tuple_key string, tuple_ord bigint, x array<double>")

@@ -543,8 +543,10 @@ sx as (select tuple_ord as ord, coalesce(ent1, '') || chr(1) || coalesce(ent2, '
 @query(f"""with recursive {_SX}, m as (select row_number() over (order by ord) as n, ord, key, x from sx semi join pos using (ent1)), {BS.fold("fold", "m", 0.6)}, {BS.members("mem", "fold")}
 select pattern_id, ord as tuple_ord from mem semi join (select pattern_id from mem group by 1 having count(distinct key) >= 2) using (pattern_id)""")
 def single_pass_cluster(spark: Spark, d: str) -> DataFrame:
-    matched = stored(spark, d).join(seeded_names(spark, d), "ent1", "left_semi")
-    return clustering.supported(clustering.cluster_pass(matched, None, 0.6), 2).select("pattern_id", "tuple_ord")
+    matched = materialize(_named(spark, d).join(seeded_names(spark, d), "ent1", "left_semi").select("tuple_ord", "tuple_key", *VECTORS), "matched")
+    # written, as it is read twice and the fold is not to run twice
+    members = materialize(clustering.cluster_pass(with_x(matched), None, 0.6).select("pattern_id", "tuple_key", "tuple_ord"), "members")
+    return clustering.supported(members, 2).select("pattern_id", "tuple_ord")
 
 
 @query(f"""with recursive {_SX}, seeds0 as (select ent1, ent2 from pos), {BS.passes(2, 0.6, 0.6, 2.0, 0.1, lambda c: f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')")}

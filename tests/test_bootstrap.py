@@ -258,3 +258,37 @@ def test_odd_vectors_are_matched_exactly(odd):
         want = {(i, p) for p in range(11) for i in range(40) if 2 * (s[i, ids == p] >= 0.2).sum() >= (ids == p).sum()}
         got = {(int(i), int(p)) for b in matching.Members(ids, y).accepted(x, 0.2) for i, p in zip(b[0], b[1])}
     assert got == want and len(got) > 50
+
+
+def test_a_fold_compares_blocks(monkeypatch):
+    # single_pass_cluster: a product for each tuple read all members again
+    g = np.random.default_rng(4)
+    x = np.repeat(g.normal(size=(60, 6)), 5, 0) + g.normal(scale=0.5, size=(300, 6))
+    x = np.concatenate([np.zeros((1, 6)), x / np.linalg.norm(x, axis=1, keepdims=True)])[g.permutation(301)]
+    keys = [f"k{i % 250}" for i in range(301)]
+    want, cl = [], []  # clusters of (key, vector)
+    for i, (k, v) in enumerate(zip(keys, x)):
+        if not cl:
+            cl.append({k: v})
+            want.append((i, 0))
+        score = []
+        for c in cl:
+            s = [float(np.dot(m, v)) for m in c.values()]
+            score.append(max(s) if 2 * sum(t >= 0.6 for t in s) >= len(s) else 0.0)
+        best = int(np.argmax(score))
+        if score[best] < 0.6:
+            cl.append({})
+            best = len(cl) - 1
+        if k not in cl[best]:
+            cl[best][k] = v
+            want.append((i, best))
+    for block, piece in ((512, 8192), (7, 16), (1, 1)):
+        monkeypatch.setattr(clustering, "BLOCK", block)
+        monkeypatch.setattr(clustering, "PIECE", piece)
+        calls, real = [], clustering.similar
+        monkeypatch.setattr(clustering, "similar", lambda *a: calls.append(1) or real(*a))
+        state = clustering.Clusters(0.6)
+        got = state.add(keys[:100], x[:100]) + [(i + 100, p) for i, p in state.add(keys[100:], x[100:])]
+        assert got == want and len(set(p for _, p in got)) > 20
+        assert block < 512 or len(calls) == 1
+        monkeypatch.setattr(clustering, "similar", real)
